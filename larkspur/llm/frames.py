@@ -11,16 +11,28 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH_ROWS = 2048  # rows put into one output batch at most
+BATCH_BYTES = 8 << 20  # and bytes, but for a single row that is larger
+
+
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows, each within rows and bytes (or a single row)."""
+    step = rows
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        if part.nbytes <= most or part.num_rows == 1:
+            yield part
+        else:
+            yield from slices(part, max(1, part.num_rows // 2), most)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: T.StructType) -> DataFrame:
-    """mapInArrow for a function from a batch to dicts of columns (one, or several smaller ones)."""
+    """mapInArrow for a function from a batch of bounded size to a dict of columns, or to several."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                made = fn(batch.slice(at, BATCH_ROWS))
+            for part in slices(batch):
+                made = fn(part)
                 for columns in [made] if isinstance(made, dict) else made:
                     yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import tokenize
+from larkspur.llm import media, tokenize, url_filter, warc
 from larkspur.llm.storage import table
 
 
@@ -19,15 +20,82 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+LISTED_URLS = ["cheap-pills.example.com", "spam-farm.example.org"]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "key string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
+_RULES_SQL = " union all ".join(f"select '{t}' as rule, '{v}' as verdict, '{t.partition('/')[0]}' as on_host, '/{t.partition('/')[2]}' as on_path" for v, t in URL_RULES)
+_LISTED_SQL = ", ".join(f"'{u}'" for u in LISTED_URLS)
+OP2_SQL = rf"""
+with parts as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+rules as ({_RULES_SQL}),
+urls as (select distinct host, path from parts),
+ruled as (
+  select u.host, u.path, max_by(r.rule, length(r.rule)) as rule, max_by(r.verdict, length(r.rule)) as verdict
+  from urls u join rules r on (u.host = r.on_host or ends_with(u.host, '.' || r.on_host)) and starts_with(u.path, r.on_path)
+  group by u.host, u.path),
+canonical as (
+  select host, path, regexp_replace(regexp_replace(host, '^.*@|:\d*$', '', 'g'), '^www\.', '') as h,
+         regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '') as p
+  from urls),
+listed as (
+  select c.host, c.path from canonical c, (select unnest([{_LISTED_SQL}]) as key) l
+  where list_contains(flatten(list_transform(range(0, greatest(len(string_split(h, '.')) - 2, 0) + 1),
+        lambda i: [array_to_string(string_split(h, '.')[i + 1:], '.'), array_to_string(string_split(h, '.')[i + 1:], '.') || p])), l.key)
+  group by c.host, c.path)
+select parts.page_id, parts.host, parts.path, ruled.rule,
+       coalesce(ruled.verdict, case when listed.host is not null then 'block' else 'allow' end) as verdict
+from parts left join ruled on parts.host = ruled.host and parts.path = ruled.path
+left join listed on parts.host = listed.host and parts.path = listed.path
+"""
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_archives(warc.record_types(pages))
+    return warc.read_archives(manifest, pages.schema["page_id"].dataType).drop("url", "payload")
+
+
+OP3_SQL = """
+with rows as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),
+firsts as (select digest, min(page_id) as first from rows where n >= 100 group by digest)
+select page_id, cast(n as bigint) as payload_bytes, rows.digest as payload_digest,
+       case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and page_id <> first then first end as refers_to
+from rows left join firsts on rows.digest = firsts.digest
+"""
+
+
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"))
+    f = media.features(stored)
+    feature = F.concat_ws(
+        ";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("seconds="), "n_samples", F.lit("/"), "sample_rate"), F.concat(F.lit("table="), F.coalesce("table_frames", F.lit(-1))),
+        F.concat(F.lit("bad="), "bad_checksums"), F.concat(F.lit("skipped="), "skipped_bytes"), F.concat(F.lit("seek="), F.md5(F.concat_ws(",", "frame_offsets"))),
+    )
+    return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": op2_url_filter,
+        "op3_warc": op3_warc,
+        "op4_mpeg_audio": op4_mpeg_audio,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}
