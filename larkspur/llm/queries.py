@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import media, tokenize, url_filter, warc
+from larkspur.llm import media, quality, secrets, tokenize, url_filter, warc
 from larkspur.llm.storage import table
 
 
@@ -20,6 +20,16 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+QUALITY_FROM = 0.3  # the score from which a text is kept
+
+
+def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 LISTED_URLS = ["cheap-pills.example.com", "spam-farm.example.org"]
 
@@ -84,15 +94,22 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
 def queries() -> dict:
     return {
+        "op1_quality_nbsvm": op1_quality_nbsvm,
         "op2_url_filter": op2_url_filter,
         "op3_warc": op3_warc,
         "op4_mpeg_audio": op4_mpeg_audio,
+        "op8_secrets": op8_secrets,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
