@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import media, quality, secrets, tokenize, url_filter, warc
+from larkspur.llm import additive_ann, media, quality, secrets, tokenize, url_filter, warc
 from larkspur.llm.storage import table
 
 
@@ -94,6 +94,20 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP5_SQL = """
+with rows as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select q.vec_id as query_id, x.vec_id, list_distance(q.v, x.v) as score from rows q, rows x where q.vec_id % 100 = 0 and q.vec_id <> x.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs) where rank <= 10
+"""
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
@@ -109,10 +123,11 @@ def queries() -> dict:
         "op2_url_filter": op2_url_filter,
         "op3_warc": op3_warc,
         "op4_mpeg_audio": op4_mpeg_audio,
+        "op5_additive_ann": op5_additive_ann,
         "op8_secrets": op8_secrets,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op5_additive_ann": OP5_SQL}
