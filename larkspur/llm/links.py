@@ -93,20 +93,20 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, roots: DataFrame, size: str, tolerance: float, sketch_bits: int) -> DataFrame:
+def cross_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, tolerance: float) -> DataFrame:
     """(a, b), a < b, distinct: members of one group in different components that sizes and sketches don't rule out.
 
-    members: sig, item, size, sketch. Two sets can be linked only if the
-    smaller size is at least tolerance times the larger, and if they differ in
-    at most (1 - tolerance) / (1 + tolerance) of the sum of their sizes; their
-    sketches differ in no more bits than the sets in values.
+    members: sig, item; facts: item, size, sketch. Two sets can be linked only
+    if the smaller size is at least tolerance times the larger, and if they
+    differ in at most (1 - tolerance) / (1 + tolerance) of the sum of their
+    sizes; their sketches differ in no more bits than the sets in values.
     """
     labelled = members.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("sig", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = labelled.join(mixed, "sig").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    own = labelled.join(mixed, "sig").join(facts, "item").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "item", "root", F.col(size).alias("size"), "sketch")
+    dealt = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "item", "root", "size", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -132,9 +132,43 @@ def cross_pairs(members: DataFrame, roots: DataFrame, size: str, tolerance: floa
     return dealt.groupBy("sig", "lo", "hi").applyInArrow(run, _PAIR).distinct()
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], size: str, tolerance: float, sketch_bits: int = 512) -> DataFrame:
-    """(item, root) of all items with a link. verify: pairs (a, b) -> those that are links. members: sig, item, size, sketch."""
+def linked_components(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], tolerance: float) -> DataFrame:
+    """(item, root) of all items with a link. verify: pairs (a, b) -> those that are links."""
     first = written(verify(star_pairs(members)), "links")
-    roots = components(first)
-    rest = written(verify(cross_pairs(members, written(roots, "roots"), size, tolerance, sketch_bits)), "links")
-    return components(first.unionAll(rest)) if rest.limit(1).count() else roots
+    roots = written(components(first), "roots")
+    rest = written(verify(cross_pairs(members, facts, roots, tolerance)), "links")
+    return written(components(first.unionAll(rest)), "roots") if rest.limit(1).count() else roots
+
+
+def plausible(pairs: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches don't rule out."""
+    a = facts.select(F.col("item").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    b = facts.select(F.col("item").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.lit(tolerance) * F.greatest("na", "nb") - 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = pa.array(apart <= (1 - tolerance) / (1 + tolerance) * total + 1e-9)
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _PAIR)
+
+
+def verified(pairs: DataFrame, contents: DataFrame, alike: Callable[[list, list], bool]) -> DataFrame:
+    """Pairs (a, b) whose contents are alike. contents: item, content; each pair is joined with one content, then meets the other by its first end."""
+    b = contents.select(F.col("item").alias("b"), F.col("content").alias("cb"))
+    a = contents.select(F.col("item").alias("a"), F.col("content").alias("ca"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                keep = [alike(x, y) for x, y in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist())]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb").mapInArrow(run, _PAIR)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import additive_ann, media, quality, secrets, tokenize, url_filter, warc
+from larkspur.llm import additive_ann, jaccard_join, media, quality, secrets, tokenize, url_filter, warc
 from larkspur.llm.storage import table
 
 
@@ -108,6 +108,10 @@ from (select *, row_number() over (partition by query_id order by score, vec_id)
 """
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
@@ -124,6 +128,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_mpeg_audio": op4_mpeg_audio,
         "op5_additive_ann": op5_additive_ann,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_secrets": op8_secrets,
         "op9_sentencepiece": op9_sentencepiece,
     }

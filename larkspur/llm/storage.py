@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what written() made; the caller no longer reads it."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+SMALL_KEYS = 1_000_000  # rows of one long each that are broadcast at most
+
+
+def with_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join with a written table of longs: broadcast up to SMALL_KEYS rows, shuffled beyond."""
+    return df.join(F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
