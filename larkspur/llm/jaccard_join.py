@@ -35,7 +35,6 @@ each. Other columns of the input are not read. Very long texts are whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import links
+from larkspur.llm.packs import bucket_edges, pack48, unpack48
 from larkspur.llm.shingles import distinct_sorted, intersection_size, mix, parity_sketch, shingle_sets
 from larkspur.llm.storage import with_keys, written
 
@@ -71,18 +71,6 @@ def set_id(tokens: np.ndarray) -> int:
 # -- census
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """48-bit keys as six planes of bytes: sorted keys' high planes compress well."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, 2:] = planes.T
-    return out.view(">u8").reshape(-1).astype(np.uint64)
-
-
 def _survey(buckets: int, key_type: T.DataType):
     """Rows of two kinds: one for each document (bucket -1), and its prefix tokens in packs by bucket."""
     schema = T.StructType([
@@ -106,10 +94,9 @@ def _survey(buckets: int, key_type: T.DataType):
             own = np.repeat(np.array(owners, dtype=np.uint16), [len(x) for x in held])
             order = np.argsort(keys)
             keys, own = keys[order], own[order]
-            edges = np.searchsorted(keys, (np.arange(buckets + 1, dtype=np.uint64) << _U(48)) // _U(buckets))
-            edges[-1] = len(keys)
+            edges = bucket_edges(keys, buckets)
             spans = [(b, a, c) for b, (a, c) in enumerate(zip(edges[:-1], edges[1:])) if c > a]
-            return rows(bucket=[b for b, _, _ in spans], ordinal=[task + base] * len(spans), tokens=[_pack(keys[a:c]) for _, a, c in spans], owners=[own[a:c].tobytes() for _, a, c in spans])
+            return rows(bucket=[b for b, _, _ in spans], ordinal=[task + base] * len(spans), tokens=[pack48(keys[a:c]) for _, a, c in spans], owners=[own[a:c].tobytes() for _, a, c in spans])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -144,7 +131,7 @@ def _shared_counts(packs: DataFrame) -> DataFrame:
     def count(group: pa.Table) -> pa.Table:
         keys, owners = [], []
         for tokens, own, base in zip(group.column("tokens"), group.column("owners"), group.column("ordinal").to_pylist()):
-            keys.append(_unpack(tokens.as_py()))
+            keys.append(unpack48(tokens.as_py()))
             owners.append(np.frombuffer(own.as_py(), dtype=np.uint16).astype(np.int64) + base)
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
@@ -331,3 +318,23 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = document_groups(df, key, text)
     least = rows.where("root is not null").groupBy("root").agg(F.min(key).alias("least"))
     return rows.join(least, "root", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, of each component only the one of the smallest key (nulls last); of equal rows, one.
+
+    Rows with empty sets stay, each distinct one.
+    """
+    rows = document_groups(df, key, text)
+    first = F.struct(F.col(key).isNull(), F.col(key), F.col("rk"))
+    least = rows.where("root is not null").groupBy("root").agg(F.min(first).alias("least"), F.max(first).alias("most"))
+    grouped = rows.join(least.where("least != most"), "root").where(F.col("rk") != F.col("least.rk")).select("rk")
+    gone = written(grouped.distinct(), "copies")
+    repeated = written(rows.groupBy("rk").count().where("count > 1").select("rk"), "repeated")
+    named = df.withColumn("__rk", F.xxhash64(F.col(key).cast("string"), F.col(text)))
+    left = with_keys(named, gone.withColumnRenamed("rk", "__rk"), "__rk", "left_anti")
+    if not repeated.limit(1).count():
+        return left.drop("__rk")
+    repeated = repeated.withColumnRenamed("rk", "__rk")
+    once = with_keys(left, repeated, "__rk", "left_semi").dropDuplicates(["__rk"])
+    return with_keys(left, repeated, "__rk", "left_anti").unionByName(once).drop("__rk")

@@ -216,3 +216,14 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] = ("d
         return {c: batch.column(c) for c in keep} | {"score": model.scores(batch.column(text))}
 
     return map_batches(df.select(*dict.fromkeys([*keep, text])), run, struct(df, list(keep), score=T.DoubleType()))
+
+
+def keep_good(df: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of df whose score is at least threshold, with all their columns."""
+    names = df.columns
+
+    def run(batch: pa.RecordBatch) -> dict:
+        kept = batch.filter(pa.array(model.scores(batch.column(text)) >= threshold))
+        return {c: kept.column(c) for c in names}
+
+    return map_batches(df, run, df.schema)

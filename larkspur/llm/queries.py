@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import additive_ann, jaccard_join, media, quality, secrets, tokenize, url_filter, warc
+from larkspur.llm import additive_ann, jaccard_join, line_dedup, media, mixing, quality, secrets, tokenize, url_filter, warc
 from larkspur.llm.storage import table
 
 
@@ -108,6 +108,45 @@ from (select *, row_number() over (partition by query_id order by score, vec_id)
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch")
+
+
+# The exponent has a closed form for a repetition limit: the ratio of the largest and smallest share to the power of 1 - a.
+OP6_SQL = """
+with docs as (
+  select doc_id, source, coalesce('s' || source, 'n') as s, coalesce(cast(doc_id as varchar), '') as k, md5(coalesce(text, '')) as t,
+         coalesce(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')), 0) as n_tokens
+  from documents),
+totals as (select s, sum(n_tokens) as n, count(*) as c from docs group by s),
+shares as (select s, n, c, n / sum(n) over () as p from totals where n > 0),
+a as (select case when max(p) <= 2.0 * min(p) then 0.0 else 1.0 - ln(2.0) / ln(max(p) / min(p)) end as a from shares),
+weighed as (select s, n, c, pow(p, a) as w from shares, a),
+dealt as (select s, n, c, cast(round(w / sum(w) over () * (max(n / w) over () * sum(w) over ())) as bigint) as quota from weighed),
+plan as (select s, quota // n as whole, quota % n as rest, cast(ceil(sqrt(c)) as bigint) as nb from dealt
+         union all select s, 1, 0, 1 from totals where n = 0),
+placed as (
+  select d.*, p.whole, p.rest, cast('0x' || substr(md5('17|' || d.s || '|' || d.k || '|' || d.t), 1, 8) as bigint) % p.nb as b
+  from docs d join plan p on d.s = p.s),
+blocks as (select s, b, whole, rest, sum(n_tokens) as t from placed group by s, b, whole, rest),
+reached as (
+  select *, rest - (sum(t) over (partition by s order by md5('18|' || s || '|' || whole || '|' || b), b rows unbounded preceding) - t) as room
+  from blocks),
+edge as (
+  select s, b, case when rest > 0 and room >= t then -1 when room > 0 then room else 0 end as room from reached),
+cut as (
+  select p.s, p.b, p.k, p.t, e.room,
+         sum(sum(p.n_tokens)) over (partition by p.s, p.b order by md5('19|' || p.whole || '|' || p.k || '|' || p.t), p.k rows unbounded preceding) as upto
+  from placed p join edge e on p.s = e.s and p.b = e.b where e.room > 0 group by p.s, p.b, p.k, p.t, p.whole, e.room),
+times as (
+  select p.doc_id, p.source, p.n_tokens,
+         p.whole + case when e.room = -1 or (e.room > 0 and c.upto <= e.room) then 1 else 0 end as times
+  from placed p join edge e on p.s = e.s and p.b = e.b
+  left join cut c on p.s = c.s and p.b = c.b and p.k = c.k and p.t = c.t)
+select doc_id, source, cast(n_tokens as bigint) as n_tokens, cast(unnest(range(1, cast(times as bigint) + 1)) as integer) as epoch from times
+"""
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
@@ -121,6 +160,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality_nbsvm": op1_quality_nbsvm,
@@ -128,11 +177,14 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_mpeg_audio": op4_mpeg_audio,
         "op5_additive_ann": op5_additive_ann,
+        "op6_mixing": op6_mixing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_secrets": op8_secrets,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_line_dedup": op10_line_dedup,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op5_additive_ann": OP5_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op5_additive_ann": OP5_SQL, "op6_mixing": OP6_SQL}
