@@ -48,8 +48,8 @@ def _dated(spark, sf):
 
 
 def split_components(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey", "l_suppkey")
-    return S.constraint_components(li, ["l_orderkey", "l_partkey"]).select("l_orderkey", F.col("component").cast("string").alias("component")).groupBy("component").agg(F.count(F.lit(1)).alias("n_levels"))
+    comps = S.constraint_components(table(spark, sf, "customer"), ["c_custkey", "c_nationkey"])
+    return comps.groupBy("component").agg(F.count(F.lit(1)).alias("n_levels"))
 
 
 def split_component_packing(spark, sf):
@@ -135,8 +135,8 @@ b as (select fold, min(t) as tmin, max(t) as tmax, count(*) as test_n from a gro
 select 1 as repeat_id, b.fold, count(*) as train_n, b.test_n from b join a on a.t <= b.tmin - 10800000000 and a.t <= b.tmax - 691200000000 where b.test_n >= 3 group by b.fold, b.test_n""",
     "split_combined_exclusion": f"{_combined('o_orderpriority')} select 1 as repeat_id, fold, train_n from trn",
     "split_combined_dates": f"{_combined('day')} select 1 as repeat_id, trn.fold, train_n, test_n from trn join (select fold, count(*) as test_n from a group by fold) t on t.fold = trn.fold",
-    "split_components": """with recursive li as (select distinct cast(l_orderkey as varchar) as g, l_partkey from lineitem where l_orderkey % 50 = 0),
-e as (select distinct a.g as x, b.g as y from li a join li b using (l_partkey)),
+    "split_components": """with recursive li as (select distinct cast(c_custkey as varchar) as g, c_nationkey as k from customer),
+e as (select distinct a.g as x, b.g as y from li a join li b on a.k = b.k),
 reach(g, c) as (select distinct g, g from li union select e.y, reach.c from reach join e on reach.g = e.x),
 m as (select g, min(c) as component from reach group by g)
 select component, count(*) as n_levels from m group by component""",
