@@ -2,13 +2,17 @@
 
 Items (distinct texts, not copies) are indexed by signatures; only items that
 share one can be linked. Large groups of alike items share many signatures, so
-pairs are made in two steps:
+pairs are made in three steps:
 
 1. Each group of a signature gives a star: its leader with each other member.
-   The leader is the member with the smallest hash, so that groups of much the
-   same members have the same leader and give the same pairs.
+   The leader is the member whose signatures have the largest groups, the
+   likely source of the others; groups of much the same members have the same
+   leader and give the same pairs.
 2. Links found so far make components. A group whose members are all in one
-   component needs no more pairs. The others give the pairs of members of
+   component needs no more pairs. The others give stars again, for a few
+   rounds: a random member of the group's largest component with each member
+   of another one.
+3. What groups are still of several components give all pairs of members of
    different components, which is exact: all pairs of a group are verified,
    pruned by a bound, or connected already. Groups of over BLOCK members are
    dealt out as pairs of blocks.
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.storage import written
 
 BLOCK = 2048
+STAR_ROUNDS = 3  # after the first
 _PAIR = "a long, b long"
 
 
@@ -88,23 +93,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def star_pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, distinct: the leader of each signature's group with the others. members: sig, item."""
-    lead = members.groupBy("sig").agg(F.min_by("item", F.struct(F.xxhash64("item"), "item")).alias("lead"))
-    pairs = members.join(lead, "sig").where("item != lead")
-    return pairs.select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    weights = members.join(sizes, "sig").groupBy("item").agg(F.sum("n").alias("weight"))
+    lead = members.join(weights, "item").groupBy("sig").agg(F.max_by("item", F.struct("weight", F.xxhash64("item"), "item")).alias("lead"))
+    return _distinct_pairs(members.join(lead, "sig").where("item != lead"))
 
 
-def cross_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, tolerance: float) -> DataFrame:
-    """(a, b), a < b, distinct: members of one group in different components that sizes and sketches don't rule out.
+def _distinct_pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
 
-    members: sig, item; facts: item, size, sketch. Two sets can be linked only
-    if the smaller size is at least tolerance times the larger, and if they
-    differ in at most (1 - tolerance) / (1 + tolerance) of the sum of their
-    sizes; their sketches differ in no more bits than the sets in values.
-    """
+
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """sig, item, root, n: the members of groups of several components, and the group's size."""
     labelled = members.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("sig", "n")
+    return labelled.join(mixed, "sig").select("sig", "item", "root", "n")
+
+
+def bridge_pairs(mixed: DataFrame, salt: int) -> DataFrame:
+    """(a, b), a < b, distinct: a random member of each group's largest component with the members of the others."""
+    parts = mixed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by("item", F.struct(F.xxhash64(F.lit(salt), "item"), "item")).alias("lead"))
+    main = parts.groupBy("sig").agg(F.max_by(F.struct("root", "lead"), F.struct("k", F.xxhash64(F.lit(salt), "root"), "root")).alias("m")).select("sig", F.col("m.root").alias("main"), F.col("m.lead").alias("lead"))
+    return _distinct_pairs(mixed.join(main, "sig").where("root != main"))
+
+
+def cross_pairs(mixed: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame:
+    """(a, b), a < b, distinct: members of one group in different components that sizes and sketches don't rule out.
+
+    mixed: as of mixed_members(); facts: item, size, sketch. Two sets can be
+    linked only if the smaller size is at least tolerance times the larger, and
+    if they differ in at most (1 - tolerance) / (1 + tolerance) of the sum of
+    their sizes; their sketches differ in no more bits than the sets in values.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = labelled.join(mixed, "sig").join(facts, "item").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    own = mixed.join(facts, "item").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "item", "root", "size", "sketch")
 
@@ -134,10 +156,16 @@ def cross_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, toleranc
 
 def linked_components(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], tolerance: float) -> DataFrame:
     """(item, root) of all items with a link. verify: pairs (a, b) -> those that are links."""
-    first = written(verify(star_pairs(members)), "links")
-    roots = written(components(first), "roots")
-    rest = written(verify(cross_pairs(members, facts, roots, tolerance)), "links")
-    return written(components(first.unionAll(rest)), "roots") if rest.limit(1).count() else roots
+    roots = written(components(written(verify(star_pairs(members)), "links")), "roots")
+    for salt in range(STAR_ROUNDS + 1):
+        mixed = written(mixed_members(members, roots), "mixed")
+        if not mixed.limit(1).count():
+            break
+        pairs = bridge_pairs(mixed, salt) if salt < STAR_ROUNDS else cross_pairs(mixed, facts, tolerance)
+        more = written(verify(pairs), "links")
+        if more.limit(1).count():
+            roots = written(components(roots.select(F.col("root").alias("a"), F.col("item").alias("b")).unionAll(more)), "roots")
+    return roots
 
 
 def plausible(pairs: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame:

@@ -151,7 +151,7 @@ def intersection_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def parity_sketch(h: np.ndarray, bits: int = 512) -> np.ndarray:
+def parity_sketch(h: np.ndarray, bits: int = 2048) -> np.ndarray:
     """Each value flips one bit; two sketches differ in at most as many bits as the sets differ in values."""
     odd = np.bincount((h >> _U(23)) % _U(bits), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
