@@ -67,16 +67,17 @@ def chisq_assoc(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
     by = list(by)
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("o"))
     rows, cols = cells.groupBy(*by, a).agg(F.sum("o").alias("r")), cells.groupBy(*by, b).agg(F.sum("o").alias("c"))
-    size = cells.groupBy(*by).agg(F.sum("o").alias("n"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
+    # of each side: levels, and the sum of 1 / total, which gives that of 1 / E over all cells, empty ones too
+    ra = rows.groupBy(*by).agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("ka"), F.sum(1 / F.col("r").cast("double")).alias("ia"))
+    cb = cols.groupBy(*by).agg(F.count(F.lit(1)).alias("kb"), F.sum(1 / F.col("c").cast("double")).alias("ib"))
+    size = ra.join(cb, by) if by else ra.join(F.broadcast(cb))  # one row each
     full = cells.join(rows, [*by, a]).join(cols, [*by, b])
     full = full.join(size, by) if by else full.join(F.broadcast(size))
     e = F.col("r").cast("double") * F.col("c") / F.col("n")
+    g = full.groupBy(*by).agg(F.sum(F.col("o") * F.col("o") / e).alias("q"), F.max(F.abs(F.col("o") - e)).alias("dev"), *[F.max(k).alias(k) for k in ("n", "ka", "kb", "ia", "ib")])
+    g = g.withColumn("two", (F.col("ka") == 2) & (F.col("kb") == 2))
     # Yates needs |O - E| of one cell only: in a 2 x 2 table it is the same in all four
-    g = full.groupBy(*by).agg(F.sum(F.col("o") * F.col("o") / e).alias("q"), F.max(F.abs(F.col("o") - e)).alias("dev"), F.sum(1 / e).alias("inv"), F.min(e).alias("least"), F.first("n").alias("n"), F.first("ka").alias("ka"), F.first("kb").alias("kb"), F.collect_set(F.struct(F.col(a), F.col("r"))).alias("ra"), F.collect_set(F.struct(F.col(b), F.col("c"))).alias("cb")).withColumn("two", (F.col("ka") == 2) & (F.col("kb") == 2))
-    # the four expected counts from the margins, so that an empty cell counts too
-    inverse = F.aggregate("ra", F.lit(0.0), lambda s, x: s + 1 / x["r"].cast("double")) * F.aggregate("cb", F.lit(0.0), lambda s, x: s + 1 / x["c"].cast("double")) * F.col("n")
-    dev = F.greatest(F.col("dev"), F.lit(0.0))
-    yates = F.pow(dev - F.least(F.lit(0.5), dev), 2) * inverse
+    yates = F.pow(F.col("dev") - F.least(F.lit(0.5), F.col("dev")), 2) * F.col("ia") * F.col("ib") * F.col("n")
     stat = F.when((F.col("ka") < 2) | (F.col("kb") < 2), None).when(F.col("two"), yates).otherwise(F.col("q") - F.col("n"))
     v = F.sqrt(F.greatest(F.col("stat"), F.lit(0.0)) / (F.col("n") * (F.least("ka", "kb") - 1)))
     made = g.withColumn("stat", stat)
