@@ -316,6 +316,17 @@ def principal_axes(df: DataFrame, columns: list[str], k: int) -> np.ndarray:
     return out * np.sign(out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])])
 
 
+def design_matrix(train: DataFrame, test: DataFrame, id_col: str, numeric: list[str], categorical: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both tables encoded by train's levels, without the columns that are constant in train; what test lacks is 0."""
+    _, levels = ensure_levels(train, list(categorical))
+    x = encode(train, [id_col], numeric, list(categorical), levels)
+    names = [c for c in x.columns if c != id_col]
+    sd = x.agg(*[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    kept = [c for i, c in enumerate(names) if sd[i]]
+    out = encode(test, [id_col], numeric, list(categorical), levels)
+    return x.select(id_col, *kept), out.select(id_col, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in kept])
+
+
 def na_counts(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """by, feature, n, n_missing; NaN and infinities count as missing."""
     clean_df = df.select(*by, *[clean(c).alias(c) for c in columns])

@@ -104,9 +104,33 @@ def guard_missforest(spark, sf):
     return rounded(model.transform(df, ["event_id"]), "x")
 
 
+def guard_design_matrix(spark, sf):
+    df = holed(spark, sf).withColumn("one", F.lit(1.0))
+    return rounded(G.design_matrix(train_of(df), df, "event_id", ["x", "score", "one"], ["g"])[1], "x", "score")
+
+
+def class_weights(spark, sf):
+    from larkspur.sources.tables import class_weights as weigh
+
+    return weigh(events(spark, sf).select("event_id", "y"), "y", {0: 2.0, 1: 0.5})
+
+
+def survival_outcome(spark, sf):
+    from larkspur.sources.tables import outcome
+
+    return rounded(outcome(events(spark, sf), "event_id", ("x", "y")).select("event_id", "y.time", "y.event"), "time")
+
+
+def aligned_metadata(spark, sf):
+    from larkspur.sources.tables import aligned, metadata
+
+    e = events(spark, sf)
+    return aligned(e.select("event_id", "score"), metadata(e, "event_id", ["user_id", None, "event_type"]), "event_id")
+
+
 QUERIES = {f.__name__: f for f in (
     guard_winsorize, guard_impute_median, guard_missing_indicator, guard_zscore_train_only, guard_robust_scale, guard_full_chain, guard_var_iqr_filter, guard_ttest_topk, guard_onehot, guard_level_align, guard_knn_impute, impute_na_counts,
-    guard_pca, guard_lasso, guard_missforest,
+    guard_design_matrix, class_weights, survival_outcome, aligned_metadata, guard_pca, guard_lasso, guard_missforest,
 )}
 
 _H = rf"""{EV}, h as (select event_id, event_type, y, score, case when event_id % 7 <> 0 then x end as x, user_id::double as u, 'g' || (event_id % 3) as g from ev),
@@ -146,6 +170,10 @@ d as (select q.event_id, r.event_id as rid, r.x, round((r.a - q.a) * (r.a - q.a)
 n as (select event_id, x from d qualify row_number() over (partition by event_id order by d, rid) <= 5),
 g as (select event_id, avg(x) as x from n group by event_id)
 select f.event_id, round(coalesce(g.x, f.x), 6) as x from f left join g on g.event_id = f.event_id""",
+    "guard_design_matrix": f"with {_H} select event_id, round(coalesce(x, 0), 6) as x, round(score, 6) as score, (g = 'g0')::int::double as gg0, (g = 'g1')::int::double as gg1, (g = 'g2')::int::double as gg2 from h",
+    "class_weights": f"with {EV} select event_id, y, case when y = 1 then 0.5::double else 2.0::double end as weight from ev",
+    "survival_outcome": f"with {EV} select event_id, round(x, 6) as time, y as event from ev",
+    "aligned_metadata": f"with {EV} select event_id, score, user_id, event_type from ev",
     "impute_na_counts": f"""with {_H}, p as (select case when event_id % 5 <> 0 then 'train' else 'test' end as part, * from h)
 select part, 'x' as feature, count(*) as n, count(*) - count(x) as n_missing from p group by part union all select part, 'score', count(*), count(*) - count(score) from p group by part union all select part, 'u', count(*), count(*) - count(u) from p group by part""",
 }

@@ -281,3 +281,25 @@ def test_stream(spark, tmp_path):
     q = monitor(stream, "ts", "outcome", "pred").writeStream.format("memory").queryName("monitored").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("monitored").agg(F.sum("n")).first()[0] == 20
+
+
+def test_tables(spark):
+    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+
+    from larkspur.errors import ValidationWarning
+    from larkspur.sources import tables as TB
+
+    df = frame(spark)
+    with pytest.raises(InputError):
+        TB.aligned(df, df.where("row_id > 3").select("row_id", "x1"), "row_id")
+    with pytest.raises(InputError):
+        TB.class_weights(df, "batch", {"a": 1.0})
+    assert "x1" in TB.features(df, "row_id", ["outcome"]).columns
+    p = spark.createDataFrame([(0.2, 0.8)], ["`.pred_b`".strip("`"), ".pred_a"]).select(TB.probabilities(spark.createDataFrame([(0.2, 0.8)], [".pred_b", ".pred_a"]), ["a", "b"]).alias("p"))
+    assert p.first()["p"] == [0.8, 0.2]
+    x = VectorAssembler(inputCols=["x1"], outputCol="f").transform(df)
+    model = StandardScaler(inputCol="f", outputCol="g").fit(x)
+    with pytest.warns(ValidationWarning):
+        TB.check_pipeline([model])
+    with pytest.raises(InputError):
+        TB.check_pipeline([SQLTransformer(statement="SELECT lead(y) over (order by t) FROM __THIS__")], strict=True)
