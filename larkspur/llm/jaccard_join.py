@@ -266,8 +266,11 @@ def _members(packs: DataFrame, frequencies: DataFrame) -> DataFrame:
     return packs.groupBy("home").cogroup(frequencies.groupBy("home")).applyInArrow(run, "sig long, item long")
 
 
-def alike(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+def stored_sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), dtype=np.uint64) for x in column]
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
     both = intersection_size(x, y)
     return WHOLE * both >= NEED * (len(x) + len(y) - both)
 
@@ -305,10 +308,10 @@ def document_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     chosen = written(left.groupBy("item").agg(F.min("rk").alias("rk")).select("rk"), "chosen")
     sets = written(_contents(with_keys(docs, chosen, "rk", "left_semi")).where("size > 0").dropDuplicates(["item"]), "sets")
     packs = written(_packed_sets(sets.repartition(max(1, buckets // 4))), "packs")
-    members = written(_members(packs, _frequencies(packs, buckets)), "members")
+    members = written(links.grouped(_members(packs, _frequencies(packs, buckets))), "members")
     facts = sets.select("item", "size", "sketch")
     contents = sets.select("item", "content")
-    check = lambda pairs: links.verified(written(links.plausible(pairs, facts, NEED / WHOLE), "pairs"), contents, alike)
+    check = lambda pairs: links.verified(written(links.plausible(pairs, facts, NEED / WHOLE), "pairs"), contents, stored_sets, alike)
     roots = links.linked_components(members, facts, check, NEED / WHOLE)
     return rows.drop("ordinal").join(roots, "item", "left").select("rk", F.col("doc_id").alias(key), "n", "item", F.coalesce("root", "item").alias("root"))
 

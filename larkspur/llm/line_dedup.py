@@ -34,13 +34,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from larkspur.llm import links
 from larkspur.llm.packs import bucket_edges, pack48, unpack48
 from larkspur.llm.shingles import Spans, distinct_sorted, intersection_size, mix, parity_sketch, text_slices
-from larkspur.llm.storage import SMALL_KEYS, written
+from larkspur.llm.storage import SMALL_KEYS, with_keys, written
 
 SHINGLE = 8
 LEAST_SHINGLES = 8
 BANDS, ROWS = 16, 4
 NEED, WHOLE = 75, 100
 FLUSH = 2_000_000  # keys a task holds before it sends them
+SKETCH = 1024  # bits
 _BINS = BANDS * ROWS
 _U = np.uint64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -156,7 +157,7 @@ def _survey(buckets: int, key_type: T.DataType):
 
 
 def _members(packs: DataFrame) -> DataFrame:
-    """(sig, item): items of each key that two or more items have."""
+    """(sig, item, n): items of each key that n items have, two or more."""
 
     def group(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack48(x.as_py()) for x in table.column("keys")])
@@ -165,21 +166,24 @@ def _members(packs: DataFrame) -> DataFrame:
         keys, items = keys[order], items[order]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (items[1:] != items[:-1])))
         keys, items = keys[new], items[new]
-        equal = keys[1:] == keys[:-1]
-        both = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
-        return pa.table({"sig": keys[both].astype(np.int64), "item": items[both].astype(np.int64)})
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        n = np.repeat(np.diff(np.append(starts, len(keys))), np.diff(np.append(starts, len(keys))))
+        return pa.table({"sig": keys[n > 1].astype(np.int64), "item": items[n > 1].astype(np.int64), "n": n[n > 1]})
 
-    return packs.groupBy("bucket").applyInArrow(group, "sig long, item long")
+    return packs.groupBy("bucket").applyInArrow(group, "sig long, item long, n long")
 
 
-def shingles_of(line: bytes) -> np.ndarray:
-    """Sorted distinct shingle hashes of one line without newlines."""
-    data = np.frombuffer(line, dtype=np.uint8)
-    return distinct_sorted(_line_shingles(data, np.array([0, len(data)]))[2])
+def line_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line; lines hold no newlines."""
+    out = []
+    for _, _, data, offsets in text_slices(column):
+        _, _, hashes, _, count = _line_shingles(data, offsets)
+        ends = np.cumsum(count)
+        out += [distinct_sorted(hashes[b - n : b]) for n, b in zip(count, ends)]
+    return out
 
 
-def alike(a: bytes, b: bytes) -> bool:
-    x, y = shingles_of(a), shingles_of(b)
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
     both = intersection_size(x, y)
     return WHOLE * both >= NEED * (len(x) + len(y) - both)
 
@@ -188,9 +192,11 @@ def _described(lines: DataFrame) -> DataFrame:
     """item, size, sketch, content. lines: item, content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles_of(x.as_py()) for x in batch.column("content")]
-            yield pa.RecordBatch.from_pydict({"item": batch.column("item"), "size": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([parity_sketch(s).tobytes() for s in sets], pa.binary()), "content": batch.column("content")})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                sets = line_sets(batch.column("content"))
+                yield pa.RecordBatch.from_pydict({"item": batch.column("item"), "size": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([parity_sketch(s, SKETCH).tobytes() for s in sets], pa.binary()), "content": batch.column("content")})
 
     return lines.mapInArrow(run, "item long, size long, sketch binary, content binary")
 
@@ -209,16 +215,21 @@ def line_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     survey = written(slim.mapInArrow(run, schema), "lines")
     places = survey.where("bucket = -1").select("doc_id", "rk", F.posexplode("lines").alias("line", "item")).where("item is not null")
     place = F.struct("doc_id", "rk", "line")
-    classes = written(places.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-classes")
     members = written(_members(survey.where("bucket >= 0").select("bucket", "keys", "items")), "line-members")
+    candidates = written(members.select("item").distinct(), "line-candidates")
+    # only items at several places, or with a key in common with others, matter from here on
+    several = places.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item")
+    matter = written(several.unionAll(candidates).distinct(), "line-matter")
+    places = written(with_keys(places, matter, "item", "left_semi"), "line-places")
+    classes = written(places.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-classes")
     # the text of each candidate item, from its first place
-    wanted = classes.join(members.select("item").distinct(), "item", "left_semi")
+    wanted = classes.join(candidates, "item", "left_semi")
     wanted = written(wanted.select("item", "first.rk", "first.line").groupBy("rk").agg(F.collect_list(F.struct("item", "line")).alias("want")), "wanted")
     parts = F.split(F.col("text"), "\n")
     found = slim.select("rk", "text").join(_few(wanted), "rk").select(F.explode("want").alias("w"), parts.alias("parts")).select(F.col("w.item").alias("item"), F.encode(F.element_at("parts", F.col("w.line") + 1), "UTF-8").alias("content"))
     contents = written(_described(found.dropDuplicates(["item"])), "line-contents")
     facts, texts = contents.select("item", "size", "sketch"), contents.select("item", "content")
-    check = lambda pairs: links.verified(written(links.plausible(pairs, facts, NEED / WHOLE), "pairs"), texts, alike)
+    check = lambda pairs: links.verified(written(links.plausible(pairs, facts, NEED / WHOLE), "pairs"), texts, line_sets, alike)
     roots = links.linked_components(members, facts, check, NEED / WHOLE)
     # lines of items that occur at two places or more, or belong to a component: all but the first go
     keep = classes.join(roots, "item", "left").where("root is not null or first != last")

@@ -17,9 +17,10 @@ pairs are made in three steps:
    pruned by a bound, or connected already. Groups of over BLOCK members are
    dealt out as pairs of blocks.
 
-Components come from rounds of joins (every edge points to the smallest
-neighbour of its larger end, then of its smaller end) over written tables;
-nothing is collected.
+Components come from union-finds in every partition and then, up to EDGES edges
+in all, from one in a single task of bounded memory; beyond, from rounds of
+joins (every edge points to the smallest neighbour of its larger end, then of
+its smaller end) over written tables. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ from larkspur.llm.storage import written
 
 BLOCK = 2048
 STAR_ROUNDS = 3  # after the first
+EDGES = 1_000_000  # that one task merges at most: 16 MB, some 200 MB of Python objects
+FACTS = 65_536  # items whose sizes and sketches are broadcast at most: under 20 MB
 _PAIR = "a long, b long"
 
 
-def _local_forest(edges: DataFrame) -> DataFrame:
-    """Fewer edges with the same components: a union-find in each partition, a star for each of its trees."""
+def _union_find(edges: DataFrame, whole: bool) -> DataFrame:
+    """Stars with the components of each partition's edges: (a, b) with a the smallest. whole: the partition has all edges, so trees are never cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -62,7 +65,7 @@ def _local_forest(edges: DataFrame) -> DataFrame:
                 a, b = find(a), find(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(parent) > 500_000:
+            if len(parent) > 500_000 and not whole:
                 yield flush()
         yield flush()
 
@@ -70,8 +73,17 @@ def _local_forest(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(item, root): every end of an edge with the smallest item it is connected to. edges: a, b, never null."""
-    e = written(_local_forest(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "edges")
+    """(item, root): every end of an edge with the smallest item it is connected to. edges: a written table of a, b, never null."""
+    forest = _union_find(edges.where("a != b"), False)
+    if edges.count() <= EDGES:
+        e = _union_find(forest.repartition(1), True)
+    else:
+        e = _rounds(written(forest.distinct(), "edges"), rounds)
+    ends = F.explode(F.array(F.struct(F.col("b").alias("item"), F.col("a").alias("root")), F.struct(F.col("a").alias("item"), F.col("a").alias("root"))))
+    return e.select(ends.alias("e")).select("e.*").distinct()
+
+
+def _rounds(e: DataFrame, rounds: int) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -82,21 +94,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(smallest, "u")
         nxt = small.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a != b").distinct()
         e = written(nxt, "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("b").alias("item"), F.col("a").alias("root")).unionAll(e.select(F.col("a").alias("item"), F.col("a").alias("root")).distinct())
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == state:
+            return e
+        state = now
+    raise RuntimeError("components did not settle")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: the leader of each signature's group with the others. members: sig, item."""
+def grouped(members: DataFrame) -> DataFrame:
+    """sig, item, n: members of groups of two or more, with the group's size. members: sig, item, distinct."""
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weights = members.join(sizes, "sig").groupBy("item").agg(F.sum("n").alias("weight"))
-    lead = members.join(weights, "item").groupBy("sig").agg(F.max_by("item", F.struct("weight", F.xxhash64("item"), "item")).alias("lead"))
-    return _distinct_pairs(members.join(lead, "sig").where("item != lead"))
+    return members.join(sizes, "sig").select("sig", "item", "n")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: the leader of each signature's group with the others. members: sig, item, n.
+
+    Items are ranked by one long, the weight above 40 bits of hash, so that the
+    leaders are found by hash aggregation; two items of one rank may stand for
+    each other, and what that leaves out the later steps find.
+    """
+    rank = F.shiftleft(F.least(F.sum("n"), F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("item"), 24))
+    ranks = written(members.groupBy("item").agg(rank.alias("rank")), "ranks")
+    few = F.broadcast(ranks) if ranks.count() <= EDGES else ranks
+    ranked = members.select("sig", "item").join(few, "item")
+    lead = ranked.groupBy("sig").agg(F.max("rank").alias("top"))
+    pairs = ranked.join(lead, "sig").where("rank != top").select("item", "top").distinct()
+    leaders = ranks.groupBy(F.col("rank").alias("top")).agg(F.min("item").alias("lead"))
+    return _distinct_pairs(pairs.join(leaders, "top"))
 
 
 def _distinct_pairs(rows: DataFrame) -> DataFrame:
@@ -104,10 +129,11 @@ def _distinct_pairs(rows: DataFrame) -> DataFrame:
 
 
 def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """sig, item, root, n: the members of groups of several components, and the group's size."""
-    labelled = members.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("sig", "n")
-    return labelled.join(mixed, "sig").select("sig", "item", "root", "n")
+    """sig, item, n, root: the members of groups of several components. members: sig, item, n; roots: a written table."""
+    few = F.broadcast(roots) if roots.count() <= EDGES else roots
+    labelled = members.select("sig", "item", "n").join(few, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+    return labelled.join(mixed, "sig").select("sig", "item", "n", "root")
 
 
 def bridge_pairs(mixed: DataFrame, salt: int) -> DataFrame:
@@ -136,12 +162,13 @@ def cross_pairs(mixed: DataFrame, facts: DataFrame, tolerance: float) -> DataFra
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         words = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(item), -1)
         left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi)) if lo != hi else (np.arange(len(item)),) * 2
+        right = right[np.argsort(n[right], kind="stable")]  # partners of a size are a range
+        sizes = n[right]
         firsts, seconds = [], []
         for i in left.tolist():
-            rest = right[(item[right] > item[i]) if lo == hi else slice(None)]
-            rest = rest[root[rest] != root[i]]
-            small, large = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-            rest = rest[small >= tolerance * large - 1e-9]
+            first = np.searchsorted(sizes, tolerance * n[i] - 1e-9) if lo != hi else np.searchsorted(sizes, n[i])
+            rest = right[first : np.searchsorted(sizes, n[i] / tolerance + 1e-9, side="right")]
+            rest = rest[(root[rest] != root[i]) & ((lo != hi) | (n[rest] > n[i]) | (item[rest] > item[i]))]
             if not len(rest):
                 continue
             apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1)
@@ -155,16 +182,18 @@ def cross_pairs(mixed: DataFrame, facts: DataFrame, tolerance: float) -> DataFra
 
 
 def linked_components(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], tolerance: float) -> DataFrame:
-    """(item, root) of all items with a link. verify: pairs (a, b) -> those that are links."""
+    """(item, root) of all items with a link. members: a written table of grouped(). verify: pairs (a, b) -> those that are links."""
     roots = written(components(written(verify(star_pairs(members)), "links")), "roots")
+    mixed = members
     for salt in range(STAR_ROUNDS + 1):
-        mixed = written(mixed_members(members, roots), "mixed")
+        mixed = written(mixed_members(mixed, roots), "mixed")
         if not mixed.limit(1).count():
             break
         pairs = bridge_pairs(mixed, salt) if salt < STAR_ROUNDS else cross_pairs(mixed, facts, tolerance)
         more = written(verify(pairs), "links")
         if more.limit(1).count():
-            roots = written(components(roots.select(F.col("root").alias("a"), F.col("item").alias("b")).unionAll(more)), "roots")
+            edges = roots.select(F.col("root").alias("a"), F.col("item").alias("b")).unionAll(more)
+            roots = written(components(edges), "roots")
     return roots
 
 
@@ -172,6 +201,8 @@ def plausible(pairs: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame
     """Pairs (a, b) that sizes and sketches don't rule out."""
     a = facts.select(F.col("item").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     b = facts.select(F.col("item").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    if facts.count() <= FACTS:
+        a, b = F.broadcast(a), F.broadcast(b)
     sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.lit(tolerance) * F.greatest("na", "nb") - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +218,21 @@ def plausible(pairs: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _PAIR)
 
 
-def verified(pairs: DataFrame, contents: DataFrame, alike: Callable[[list, list], bool]) -> DataFrame:
-    """Pairs (a, b) whose contents are alike. contents: item, content; each pair is joined with one content, then meets the other by its first end."""
+def verified(pairs: DataFrame, contents: DataFrame, sets: Callable[[pa.Array], list], alike: Callable[[object, object], bool]) -> DataFrame:
+    """Pairs (a, b) whose contents are alike. contents: item, content; sets: from a column of contents to what alike compares, each content once for a batch."""
     b = contents.select(F.col("item").alias("b"), F.col("content").alias("cb"))
     a = contents.select(F.col("item").alias("a"), F.col("content").alias("ca"))
 
+    def made(batch: pa.RecordBatch, key: str, content: str) -> list:
+        _, first, at = np.unique(batch.column(key).to_numpy(), return_index=True, return_inverse=True)
+        own = sets(batch.column(content).take(pa.array(first)))
+        return [own[i] for i in at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keep = [alike(x, y) for x, y in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist())]
+                keep = [alike(x, y) for x, y in zip(made(batch, "a", "ca"), made(batch, "b", "cb"))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb").mapInArrow(run, _PAIR)

@@ -95,7 +95,9 @@ def test_sketches_bound_the_difference():
     assert int(np.bitwise_count(x ^ y).sum()) <= 150
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("most", [links.EDGES, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, most):
+    monkeypatch.setattr(links, "EDGES", most)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, 150), (150, 170)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     got = {r["item"]: r["root"] for r in links.components(df).collect()}
