@@ -37,6 +37,7 @@ from larkspur.llm.storage import written
 BLOCK = 2048
 STAR_ROUNDS = 3  # after the first
 EDGES = 1_000_000  # that one task merges at most: 16 MB, some 200 MB of Python objects
+SHARE = 50_000  # rows of small groups that one call compares, about
 FACTS = 65_536  # items whose sizes and sketches are broadcast at most: under 20 MB
 _PAIR = "a long, b long"
 
@@ -154,31 +155,40 @@ def cross_pairs(mixed: DataFrame, facts: DataFrame, tolerance: float) -> DataFra
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = mixed.join(facts, "item").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "item", "root", "size", "sketch")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        item, root, n, own = (group.column(c).to_numpy() for c in ("item", "root", "size", "own"))
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        words = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(item), -1)
-        left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi)) if lo != hi else (np.arange(len(item)),) * 2
-        right = right[np.argsort(n[right], kind="stable")]  # partners of a size are a range
-        sizes = n[right]
-        firsts, seconds = [], []
-        for i in left.tolist():
-            first = np.searchsorted(sizes, tolerance * n[i] - 1e-9) if lo != hi else np.searchsorted(sizes, n[i])
-            rest = right[first : np.searchsorted(sizes, n[i] / tolerance + 1e-9, side="right")]
-            rest = rest[(root[rest] != root[i]) & ((lo != hi) | (n[rest] > n[i]) | (item[rest] > item[i]))]
-            if not len(rest):
-                continue
-            apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1)
-            rest = rest[apart <= (1 - tolerance) / (1 + tolerance) * (n[rest] + n[i]) + 1e-9]
-            firsts.append(np.minimum(item[rest], item[i]))
-            seconds.append(np.maximum(item[rest], item[i]))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    # many groups are small: each task takes a share of them at once
+    shares = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), mixed.count() // SHARE)
+    dealt = dealt.select(F.pmod(F.xxhash64("sig", lo, hi), F.lit(shares)).alias("share"), "sig", lo.alias("lo"), hi.alias("hi"), "own", "item", "root", "size", "sketch")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sig, lo, hi, own, item, root, n = (rows.column(c).to_numpy() for c in ("sig", "lo", "hi", "own", "item", "root", "size"))
+        words = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(item), -1)
+        order = np.lexsort((item, n, hi, lo, sig))
+        sig, lo, hi, own, item, root, n, words = (x[order] for x in (sig, lo, hi, own, item, root, n, words))
+        head = np.concatenate(([True], (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+        group = np.cumsum(head)
+        firsts, seconds, left = [], [], np.arange(len(item))
+        for gap in range(1, len(item)):  # each row with the one gap places on, of its group and not too large
+            left = left[left + gap < len(item)]
+            right = left + gap
+            ok = (group[left] == group[right]) & (n[left] >= tolerance * n[right] - 1e-9)
+            left = left[ok]  # sizes rise within a group: what fails here fails from here on
+            if not len(left):
+                break
+            right = left + gap
+            ask = np.flatnonzero((root[left] != root[right]) & ((lo[left] == hi[left]) | (own[left] != own[right])))
+            for at in range(0, len(ask), 65_536):
+                i = left[ask[at : at + 65_536]]
+                j = i + gap
+                apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+                keep = apart <= (1 - tolerance) / (1 + tolerance) * (n[i] + n[j]) + 1e-9
+                firsts.append(np.minimum(item[i], item[j])[keep])
+                seconds.append(np.maximum(item[i], item[j])[keep])
         none = np.empty(0, dtype=np.int64)
         return pa.table({"a": np.concatenate([*firsts, none]), "b": np.concatenate([*seconds, none])})
 
-    return dealt.groupBy("sig", "lo", "hi").applyInArrow(run, _PAIR).distinct()
+    return dealt.groupBy("share").applyInArrow(run, _PAIR).distinct()
 
 
 def linked_components(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], tolerance: float) -> DataFrame:
