@@ -85,27 +85,38 @@ class _Memo(dict):
         self.ids = np.concatenate((self.ids, ids))
 
 
+def _supported(model: bytes) -> tuple[list[tuple[str, float, int]], dict, dict]:
+    """Pieces (text, score, kind), trainer and normalizer fields; what isn't supported is refused."""
+    pieces: list[tuple[str, float, int]] = []
+    trainer, normalizer = {}, {}
+    for number, value in _fields(model):
+        if number == 1:
+            own = dict(_fields(value))
+            score = struct.unpack("<f", own[2])[0] if 2 in own else 0.0
+            pieces.append((own.get(1, b"").decode("utf-8"), score, own.get(3, _NORMAL)))
+        elif number == 2:
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normalizer = dict(_fields(value))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("not a BPE model")
+    if normalizer.get(2, b"") or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("only identity normalisation without white space removal is supported")
+    if any(kind in (_USER, _UNUSED) for _, _, kind in pieces):
+        raise ValueError("user-defined and unused pieces are not supported")
+    return pieces, trainer, normalizer
+
+
+def check_model(model: bytes) -> None:
+    """Refuses a model that isn't supported, without making its tables."""
+    _supported(model)
+
+
 class PieceModel:
     """Tables for encoding and decoding, made from the bytes of a model file."""
 
     def __init__(self, model: bytes):
-        pieces: list[tuple[str, float, int]] = []
-        trainer, normalizer = {}, {}
-        for number, value in _fields(model):
-            if number == 1:
-                own = dict(_fields(value))
-                score = struct.unpack("<f", own[2])[0] if 2 in own else 0.0
-                pieces.append((own.get(1, b"").decode("utf-8"), score, own.get(3, _NORMAL)))
-            elif number == 2:
-                trainer = dict(_fields(value))
-            elif number == 3:
-                normalizer = dict(_fields(value))
-        if trainer.get(3, 1) != 2:
-            raise ValueError("not a BPE model")
-        if normalizer.get(2, b"") or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
-            raise ValueError("only identity normalisation without white space removal is supported")
-        if any(kind in (_USER, _UNUSED) for _, _, kind in pieces):
-            raise ValueError("user-defined and unused pieces are not supported")
+        pieces, trainer, normalizer = _supported(model)
         self.dummy_prefix = bool(normalizer.get(3, 1))
         self.byte_fallback = bool(trainer.get(35, 0))
         self.pieces = pieces

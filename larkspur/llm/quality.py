@@ -34,7 +34,7 @@ from larkspur.llm.frames import map_batches, struct
 from larkspur.llm.shingles import Spans, mix, text_slices, words_of
 
 BITS = 18
-SAMPLE = 8_000  # labelled rows the model is fit on at most
+SAMPLE = 4_000  # labelled rows the model is fit on at most
 EPOCHS = 12
 COST = 1.0
 NORM = 0.25  # a row is divided by its number of features to this power
@@ -101,7 +101,7 @@ class Model:
         out = []
         for n, text, feature in _presence(column):
             size = np.bincount(text, minlength=n)
-            out.append(np.bincount(text, self.weights[feature], minlength=n) / np.maximum(size, 1)**NORM + self.bias)
+            out.append(np.bincount(text, self.weights[feature], minlength=n) / np.maximum(size, 1) ** NORM + self.bias)
         return np.concatenate([*out, np.empty(0)])
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -110,14 +110,16 @@ class Model:
 
 def _ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Log-count ratios with add-one smoothing."""
-    counts = [1.0 + np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == c)] + [np.empty(0, dtype=np.int64)]), minlength=1 << BITS) for c in (1, -1)]
+    counts = np.ones((2, 1 << BITS))
+    for r, c in zip(rows, y.tolist()):
+        counts[0 if c == 1 else 1][r] += 1.0  # a row's features are distinct
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; rows count by class so that both weigh the same."""
-    values = [ratio[r] / max(1, len(r))**NORM for r in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    scaled = lambda r: ratio[r] / max(1, len(r)) ** NORM  # noqa: E731  made anew each time: a sample's values would fill the driver's memory
+    square = np.array([np.square(scaled(r)).sum() + 1.0 for r in rows])
     share = np.array([(y == 1).mean(), (y == -1).mean()])
     upper = cost * 0.5 / np.where(y == 1, share[0], share[1])
     w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
@@ -125,11 +127,12 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: flo
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            gradient = y[i] * (w[rows[i]] @ values[i] + b) - 1.0
+            values = scaled(rows[i])
+            gradient = y[i] * (w[rows[i]] @ values + b) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), upper[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 b += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -169,7 +172,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, epo
         own = [rows[i] for i in train]
         w, b = _descend(own, y[train], _ratios(own, y[train]), cost, epochs)
         for i in test:
-            margins[i], known[i] = w[rows[i]].sum() / max(1, len(rows[i]))**NORM + b, True
+            margins[i], known[i] = w[rows[i]].sum() / max(1, len(rows[i])) ** NORM + b, True
     slope, shift = _logistic(margins[known], y[known]) if known.any() else (1.0, 0.0)
     w, b = _descend(rows, y, _ratios(rows, y), cost, epochs)
     return Model(w.astype(np.float32), float(b), slope, shift)
@@ -206,7 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = map_batches(rows, run, schema).orderBy("k").limit(sample).toArrow().combine_chunks()
     lists = found.column("f").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit_rows([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], found.column("y").to_numpy())
+    model = fit_rows([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], found.column("y").to_numpy())
+    del found, lists, flat
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from larkspur.llm.frames import map_batches, sha256, struct
-from larkspur.llm.piece_tokenizer import PieceModel
+from larkspur.llm.piece_tokenizer import PieceModel, check_model
 
 _models: dict[str, PieceModel] = {}
 
@@ -35,7 +35,7 @@ def read_model(path: str) -> bytes:
         data = f.read((16 << 20) + 1)
     if len(data) > 16 << 20:
         raise ValueError("a model file of over 16 MB")
-    PieceModel(data)  # refuses what isn't supported
+    check_model(data)
     return data
 
 
