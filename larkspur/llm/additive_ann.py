@@ -8,8 +8,8 @@ Every row is encoded by beam search and kept with its codes and its norm. A
 query scores all rows with lookup tables, ``norm - 2 * sum(table[code])``; the
 rows whose score is within a margin of the best ones are reranked by the exact
 distance in double precision on the original vectors. The margin is MARGIN
-standard deviations of the score's error, which the fit measures; so the number
-of reranked rows has no cap.
+standard deviations of the score's error, which is measured on sample rows that
+the codebooks aren't fit on; the number of reranked rows has no cap.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part. A repeated id counts once, with its
@@ -36,7 +36,8 @@ BOOKS = 8
 CODES = 256
 BEAM = 4
 ROUNDS = 3
-MARGIN = 3.0
+MARGIN = 4.0
+HELD_OUT = 8  # one of so many sample rows isn't fit on, and measures the error
 QUERY_BLOCK = 1024  # queries in a block, on average
 ROWS = 4096  # encoded or scored at once
 
@@ -77,6 +78,9 @@ class Quantizer:
 def fit(x: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = ROUNDS, seed: int = 11) -> Quantizer:
     """A quantizer of the rows of x (at least one)."""
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    held = x[: len(x) // HELD_OUT] if len(x) >= 20 * HELD_OUT else x  # codebooks fit their own rows better than others
+    x = x[len(held) :] if len(held) < len(x) else x
     k = int(min(codes, max(1, len(x) // 4)))
     rest, made = x.copy(), []
     for _ in range(books):
@@ -102,8 +106,8 @@ def fit(x: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = ROU
             np.add.at(right, at[:, i], x)
         solved = np.linalg.solve(gram + 1e-2 * np.eye(len(gram)), right + 1e-2 * q.flat)
         q = Quantizer(solved.reshape(q.books.shape).astype(np.float32))
-    error = x - q.decode(q.encode(x))
-    ask = x[rng.permutation(len(x))]
+    error = held - q.decode(q.encode(held))
+    ask = held[rng.permutation(len(held))]
     q.error = float(np.std(2 * (ask * error).sum(axis=1) / np.maximum(np.linalg.norm(ask, axis=1), 1e-30)))
     return q
 
