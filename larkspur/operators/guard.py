@@ -18,7 +18,8 @@ from larkspur.errors import FallbackWarning, InputError, warn
 
 NUMBER = r"^\s*-?\d+(\.\d+)?\s*$"
 ROBUST = 1.4826
-REFERENCE_ROWS = 200_000  # train rows that nearest neighbours are sought among at most, by broadcast
+REFERENCE_ROWS = 50_000  # train rows in a block, and rows with holes that meet it at once
+ASKING_ROWS = 5_000
 LEVEL_LIMIT = 10_000  # distinct levels of one categorical column
 
 
@@ -215,45 +216,60 @@ def knn_fill(df: DataFrame, keep: list[str], reference: DataFrame, columns: list
 
     Distances are Euclidean on median-filled columns over their train standard
     deviations, rounded to nine digits, ties by the reference rows' order in
-    keep[0]. The reference, up to REFERENCE_ROWS rows, is a numpy table sent to
-    the tasks; larger ones are cut to those with the smallest hashes of their id.
+    keep[0]. Every block of reference rows meets every block of rows with
+    holes, and the k nearest of each block are merged: all reference rows are
+    compared, and no task holds more than two blocks. The work is the product
+    of the two tables' rows.
     """
     key = keep[0] if keep and keep[0] in reference.columns else None
     if key is None:
         raise InputError("kNN imputation needs an id column")
     fills = {c: stats[c].get("after_median", stats[c]["median"]) for c in columns}
-    full = lambda f: f.select(F.col(key).alias("__key"), *[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) for c in columns])
-    known = full(reference)
-    if known.count() > REFERENCE_ROWS:
-        warn(f"nearest neighbours are sought among {REFERENCE_ROWS} train rows", FallbackWarning)
-        known = known.orderBy(F.xxhash64("__key")).limit(REFERENCE_ROWS)
-    pdf = known.toPandas().sort_values("__key")
-    ids, table = pdf["__key"].to_numpy(), pdf[columns].to_numpy(dtype=float)
+    hole = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns}
+    rows = df.select(*keep, *columns).withColumn("__ask", F.when(F.greatest(*hole.values(), F.lit(False)), F.struct(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)])))
+    asked = rows.where("__ask is not null").select("__ask").distinct()
+    full = [F.coalesce(F.col(c).cast("double"), F.lit(fills[c])).alias(f"x{j}") for j, c in enumerate(columns)]
+    known = reference.select(F.col(key).alias("id"), *full)
+    ask_blocks, known_blocks = max(1, -(-asked.count() // ASKING_ROWS)), max(1, -(-known.count() // REFERENCE_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names = [f"x{j}" for j in range(len(columns))]
+    left = asked.select(F.pmod(F.xxhash64("__ask"), F.lit(ask_blocks)).cast("int").alias("a"), every(known_blocks).alias("b"), "__ask.*")
+    right = known.select(every(ask_blocks).alias("a"), F.pmod(F.xxhash64("id", *names), F.lit(known_blocks)).cast("int").alias("b"), "id", *names)
     sd = np.array([stats[c]["sd"] if stats[c].get("sd") else 1.0 for c in columns])
-    scaled = table / sd
-    schema = df.select(*keep, *columns).schema
-
-    def run(batches):
-        for pdf in batches:
-            values = pdf[columns].to_numpy(dtype=float)
-            holes = np.isnan(values)
-            filled = np.where(holes, np.array([fills[c] for c in columns], dtype=float), values)
-            own = pdf[key].to_numpy()
-            for i in np.flatnonzero(holes.any(axis=1)):
-                d = np.zeros(len(ids))
-                for j in range(len(columns)):
-                    step = scaled[:, j] - filled[i, j] / sd[j]
-                    d += step * step
-                d = np.round(d, 9)
-                d[ids == own[i]] = np.inf
-                near = np.argsort(d, kind="stable")[:k] if len(d) <= 4 * k else _nearest(d, k)
-                near = near[np.isfinite(d[near])]
-                if len(near):
-                    filled[i] = np.where(holes[i], table[near].mean(axis=0), filled[i])
-            pdf[columns] = filled
-            yield pdf[schema.names]
-
-    return df.select(*keep, *columns).mapInPandas(run, schema)
+    middle = np.array([fills[c] for c in columns], dtype=float)
+    kind = reference.schema[key].dataType
+    asked_type = asked.schema["__ask"].dataType
+    schema = T.StructType([*asked_type.fields, T.StructField("d", T.DoubleType()), T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def near_of(ask, block):
+        block = block.sort_values("id", kind="stable")
+        ids, table = block["id"].to_numpy(), block[names].to_numpy(dtype=float)
+        scaled, values = table / sd, ask[names].to_numpy(dtype=float)
+        filled, own = np.where(np.isnan(values), middle, values), ask["k"].to_numpy()
+        at, found, far = [], [], []
+        for i in range(len(ask)) if len(block) else ():
+            d = np.zeros(len(ids))
+            for j in range(len(names)):
+                step = scaled[:, j] - filled[i, j] / sd[j]
+                d += step * step
+            d = np.round(d, 9)
+            d[(ids == own[i]) | np.isnan(d)] = np.inf
+            near = np.argsort(d, kind="stable")[:k] if len(d) <= 4 * k else _nearest(d, k)
+            near = near[np.isfinite(d[near])]
+            at.append(np.full(len(near), i))
+            found.append(near)
+            far.append(d[near])
+        at, found = (np.concatenate([*x, np.empty(0, dtype=np.int64)]).astype(np.int64) for x in (at, found))
+        out = ask.iloc[at][["k", *names]].reset_index(drop=True)
+        out["d"], out["id"], out["v"] = np.concatenate([*far, np.empty(0)]), ids[found], list(table[found])
+        return out
+
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(near_of, schema)
+    best = pairs.groupBy(F.struct("k", *names).alias("__ask")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "v"))), 1, k).alias("near"))
+    mean = lambda j: F.aggregate("near", F.lit(0.0), lambda s, n: s + F.element_at(n["v"], j + 1)) / F.size("near")
+    best = best.select("__ask", F.array(*[mean(j) for j in range(len(columns))]).alias("__mean"))
+    filled = [F.when(hole[c], F.coalesce(F.element_at("__mean", j + 1), F.lit(fills[c])).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for j, c in enumerate(columns)]
+    return rows.join(best, rows["__ask"].eqNullSafe(best["__ask"]), "left").select(*keep, *filled)
 
 
 def _nearest(d: np.ndarray, k: int) -> np.ndarray:
