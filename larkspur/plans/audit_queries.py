@@ -9,7 +9,8 @@ from larkspur.operators import permute as P
 from larkspur.operators.splits import make_split_plan
 from larkspur.plans.common import EV, PRED, events, predictions, rounded, subject_plan, table
 
-B = 5
+B = 5  # of the queries that SQL repeats
+PERMUTATIONS = 200  # audit_leakage's default; p <= 0.05 needs 19 at least
 
 
 def perm_gap_auc(spark, sf):
@@ -131,7 +132,7 @@ def duplicates_time_cross(spark, sf):
 
 def mechanism_summary(spark, sf):
     plan = subject_plan(spark, sf)
-    gap = A.gap_table(predictions(spark, sf), "event_id", "auc", "binomial", B, "y", "score").first().asDict()
+    gap = A.gap_table(predictions(spark, sf), "event_id", "auc", "binomial", PERMUTATIONS, "y", "score").first().asDict()
     batch = A.with_pvalues(A.batch_assoc(plan, events(spark, sf), ["event_type"]))
     scan = A.target_scan(events(spark, sf), "y", "binomial", ["x", "score"], adjust="none")
     v = _vectors(spark, sf)
@@ -143,13 +144,13 @@ def mechanism_summary(spark, sf):
 
 def target_scan_multivariate(spark, sf):
     li = events(spark, sf).withColumns({"u": F.col("user_id").cast("double"), "s2": F.col("score") * F.col("score")})
-    r = A.multivariate_scan(li, ["score", "u", "s2"], "y", "event_id", subject_plan(spark, sf), "binomial", n=5)
+    r = A.multivariate_scan(li, ["score", "u", "s2"], "y", "event_id", subject_plan(spark, sf), "binomial")
     return spark.createDataFrame([(r["metric"], r["value"], r["score"], r["p_value"], r["n"], r["n_components"], r["n_interactions"])], "metric string, value double, score double, p_value double, n long, n_components int, n_interactions int")
 
 
 def audit_full(spark, sf):
     p = predictions(spark, sf).select("event_id", "fold", F.col("y").alias("truth"), F.col("score").alias("pred"))
-    a = A.audit_leakage(p, subject_plan(spark, sf), "auc", "binomial", 5, samples=events(spark, sf), features=["score"], outcome="y", batch_columns=["event_type"])
+    a = A.audit_leakage(p, subject_plan(spark, sf), "auc", "binomial", PERMUTATIONS, samples=events(spark, sf), features=["score"], outcome="y", batch_columns=["event_type"])
     return spark.createDataFrame([(m["mechanism_class"], m["flagged"]) for m in a.mechanisms], "mechanism_class string, flagged boolean")
 
 

@@ -100,7 +100,7 @@ def guard_lasso(spark, sf):
 
 
 def guard_missforest(spark, sf):
-    model, df = fitted(spark, sf, impute="missforest", forest_rounds=1, forest_trees=5)
+    model, df = fitted(spark, sf, impute="missforest")
     return rounded(model.transform(df, ["event_id"]), "x")
 
 

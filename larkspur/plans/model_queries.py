@@ -89,7 +89,7 @@ def delta_bca_ci(spark, sf):
 
 def delta_full(spark, sf):
     plan, a, b = _repeats(spark, sf)
-    r = I.delta_lsi(a, b, "auc", draws=200, flips=500, plans=(plan.assign, plan.assign, "event_id"))
+    r = I.delta_lsi(a, b, "auc", plans=(plan.assign, plan.assign, "event_id"))
     return spark.createDataFrame([(r.robust, r.p_value, r.tier, r.paired)], "robust double, p_value double, tier string, paired boolean")
 
 
@@ -138,7 +138,7 @@ def simulate_suite(spark, sf):
 
 
 def benchmark_grid(spark, sf):
-    return SIM.benchmark_suite(spark, {"small": (80, 4)}, ["none", "peek_norm"], ["subject_grouped"], [1], permutations=5)
+    return SIM.benchmark_suite(spark, {"small": (80, 4)}, ["none", "peek_norm"], ["subject_grouped"], [1])
 
 
 def stream_monitor(spark, sf):

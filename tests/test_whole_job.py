@@ -3,6 +3,7 @@
 import numpy as np
 
 from larkspur.operators import guard as G
+from larkspur.plans import registry
 
 
 def test_knn_sees_all_reference_rows(spark, monkeypatch):
@@ -20,3 +21,8 @@ def test_knn_sees_all_reference_rows(spark, monkeypatch):
         mean = full[[j for _, j in near]].mean(axis=0)
         want.append((i, mean[0] if x is None else x, mean[1] if z is None else z))
     assert np.allclose(np.array(got), np.array(sorted(want)))
+
+
+def test_grid_can_detect_a_leak(spark, sf):
+    found = {r["leakage"]: r["detection_rate"] for r in registry.queries()["benchmark_grid"](spark, sf).collect()}
+    assert found["peek_norm"] == 1.0
