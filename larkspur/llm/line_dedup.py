@@ -10,8 +10,11 @@ over 0.99999. Links from 0.75 on are merged to components by distributed
 rounds, and the first line of each component (by document id, then place)
 stays; all others go, exact repeats included.
 
-Shorter lines, blank ones among them, hold too little to be compared: they are
-left alone, however often they occur.
+With short=True, as op10_line_dedup and the pipeline have it, lines with fewer
+shingles are items too: those with one or more are compared like others, and
+those without (under SHINGLE characters) go where they are repeated exactly.
+Only blank lines (white space of ASCII) with fewer shingles are left alone.
+Without it, all lines under LEAST_SHINGLES shingles are.
 
 Defined results: a null text stays null and an empty one empty; repeated rows
 (same id and text) count as one document and keep the same lines; a null id
@@ -33,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.llm import links
 from larkspur.llm.packs import bucket_edges, pack48, unpack48
-from larkspur.llm.shingles import Spans, distinct_sorted, intersection_size, mix, parity_sketch, text_slices
+from larkspur.llm.shingles import _SPACE, Spans, distinct_sorted, intersection_size, mix, parity_sketch, text_slices
 from larkspur.llm.storage import SMALL_KEYS, with_keys, written
 
 SHINGLE = 8
@@ -57,8 +60,8 @@ def _donors() -> np.ndarray:
 _DONORS = _donors()
 
 
-def _line_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Items of all lines, each text's first line (one more), shingle hashes, the line of each, shingles of each line."""
+def _line_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items of all lines, each text's first line (one more), shingle hashes, the line of each, shingles of each line, lines that aren't blank."""
     newline = np.flatnonzero(data == 10)
     # a text with n newlines has n + 1 lines; an empty text has one, empty
     per_text = np.diff(np.searchsorted(newline, offsets)) + 1
@@ -80,7 +83,8 @@ def _line_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     at = a[line] + (np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count))
     bounds = np.append(points, len(data))
     stop = np.minimum(bounds[np.minimum(at + SHINGLE, len(points))], ends[line])
-    return items, first, spans(points[at], stop), line, count
+    solid = np.concatenate(([0], np.cumsum(~_SPACE[data])))
+    return items, first, spans(points[at], stop), line, count, solid[ends] > solid[starts]
 
 
 def _band_keys(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
@@ -106,8 +110,8 @@ def _band_keys(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     return key >> _U(16)
 
 
-def _survey(buckets: int, key_type: T.DataType):
-    """Rows of two kinds: each document's items by line (bucket -1; null for a short line), and the keys of lines in packs by bucket."""
+def _survey(buckets: int, key_type: T.DataType, short: bool):
+    """Rows of two kinds: each document's items by line (bucket -1; null for a line that is left alone), and the keys of lines in packs by bucket."""
     schema = T.StructType([
         T.StructField("bucket", T.IntegerType()), T.StructField("doc_id", key_type), T.StructField("rk", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())),
         T.StructField("keys", T.BinaryType()), T.StructField("items", T.BinaryType()),
@@ -134,10 +138,11 @@ def _survey(buckets: int, key_type: T.DataType):
                 batch = whole.slice(at, 2048)
                 flat, mask, counts = [], [], []
                 for _, _, data, offsets in text_slices(batch.column("text")):
-                    items, first, hashes, line, count = _line_shingles(data, offsets)
-                    long = count >= LEAST_SHINGLES
+                    items, first, hashes, line, count, solid = _line_shingles(data, offsets)
+                    solid &= short
+                    long = (count >= LEAST_SHINGLES) | (solid & (count > 0))
                     flat.append(items.astype(np.int64))
-                    mask.append(~long)
+                    mask.append(~(long | solid))
                     counts.append(np.diff(first))
                     if long.any():
                         keep = long[line]
@@ -177,7 +182,7 @@ def line_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each line; lines hold no newlines."""
     out = []
     for _, _, data, offsets in text_slices(column):
-        _, _, hashes, _, count = _line_shingles(data, offsets)
+        _, _, hashes, _, count, _ = _line_shingles(data, offsets)
         ends = np.cumsum(count)
         out += [distinct_sorted(hashes[b - n : b]) for n, b in zip(count, ends)]
     return out
@@ -206,12 +211,12 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_KEYS else df
 
 
-def line_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def line_groups(df: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(docs, drops): df with its row hash __rk, and (rk, drop: places of lines that go)."""
     spark = df.sparkSession
     docs = df.withColumn("__rk", F.xxhash64(F.col(key).cast("string"), F.col(text)))
     slim = docs.select(F.col(key).alias("doc_id"), F.col("__rk").alias("rk"), F.col(text).alias("text"))
-    run, schema = _survey(int(spark.conf.get("spark.sql.shuffle.partitions")), df.schema[key].dataType)
+    run, schema = _survey(int(spark.conf.get("spark.sql.shuffle.partitions")), df.schema[key].dataType, short)
     survey = written(slim.mapInArrow(run, schema), "lines")
     places = survey.where("bucket = -1").select("doc_id", "rk", F.posexplode("lines").alias("line", "item")).where("item is not null")
     place = F.struct("doc_id", "rk", "line")
@@ -239,13 +244,13 @@ def line_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     return docs, written(gone.groupBy("rk").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """All columns of df, text without the lines that go, then n_lines and n_kept.
 
     A text all of whose lines went is null. Should df have columns n_lines or
     n_kept of its own, they are replaced.
     """
-    docs, drops = line_groups(df, key, text)
+    docs, drops = line_groups(df, key, text, short)
     drops = drops.withColumnsRenamed({"rk": "__rk", "drop": "__drop"})
     joined = docs.join(_few(drops), "__rk", "left")
     lines = F.split(F.col(text), "\n")

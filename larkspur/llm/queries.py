@@ -161,7 +161,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short=True).select("doc_id", "n_lines", "n_kept", "text")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

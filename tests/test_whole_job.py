@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from larkspur.llm import queries as llm_queries
 from larkspur.operators import guard as G
 from larkspur.plans import registry
 
@@ -26,3 +27,10 @@ def test_knn_sees_all_reference_rows(spark, monkeypatch):
 def test_grid_can_detect_a_leak(spark, sf):
     found = {r["leakage"]: r["detection_rate"] for r in registry.queries()["benchmark_grid"](spark, sf).collect()}
     assert found["peek_norm"] == 1.0
+
+
+def test_short_lines_are_merged(spark, tmp_path):
+    rows = [(1, "Menu\n\nabcdefghijklmn\n本日は休業"), (2, "menu\n\n  \nabcdefghijklmX\nother"), (3, "本日は休業\n          \nMenu"), (4, "abcdefgh\n          ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in llm_queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "\n  \nother", 3: "          ", 4: rows[3][1]}
