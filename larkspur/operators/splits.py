@@ -218,15 +218,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-PACK_LIMIT = 1_000_000  # components that are packed on the driver
-
-
 def _component_folds(samples: DataFrame, axes: list[str], label: str | None, v: int, repeats: int, seed: int) -> DataFrame | None:
     """(level, repeat_id, fold): components go to the fold with the fewest levels (of their label, if stratified) so far.
 
-    The component table is packed on the driver up to PACK_LIMIT rows; beyond,
-    components are dealt to folds in turn by size, largest first. None where
-    there are fewer components than folds: levels are then dealt at random.
+    Each repeat and label is packed in hash order by one task, which holds v
+    counters and a batch of rows. None where there are fewer components than
+    folds: levels are then dealt at random.
     """
     spark, first = samples.sparkSession, axes[0]
     comps = checkpointed(constraint_components(samples, axes))
@@ -238,18 +235,21 @@ def _component_folds(samples: DataFrame, axes: list[str], label: str | None, v:
         warn(f"{total} constraint-linked components for {v} folds: levels are dealt at random", FallbackWarning)
         return None
     each = sized.withColumn("repeat_id", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("h", hash_order(seed, "pack", "repeat_id", "component"))
-    if total * repeats <= PACK_LIMIT:
+    strata = F.coalesce(F.concat(F.lit("="), F.col("__label").cast("string")), F.lit("")).alias("stratum")
+    rows = each.select("component", "repeat_id", "n", "h", strata).repartition("repeat_id", "stratum").sortWithinPartitions("repeat_id", "stratum", "h", "component")
+
+    def pack(batches):
         load: dict[tuple, list[int]] = {}
-        rows = []
-        for r in each.orderBy("repeat_id", "h", "component").toLocalIterator():
-            counts = load.setdefault((r["repeat_id"], r["__label"]), [0] * v)
-            k = counts.index(min(counts))
-            counts[k] += r["n"]
-            rows.append((r["component"], r["repeat_id"], k + 1))
-        folds = spark.createDataFrame(rows, "component string, repeat_id int, fold int")
-    else:
-        ranked = hash_ranked(each, ["repeat_id", "__label"], F.concat(F.lpad(F.conv(F.lit(2**40) - F.col("n"), 10, 16), 12, "0"), "h"), "component")
-        folds = ranked.select("component", "repeat_id", ((F.col("rn") - 1) % v + 1).cast("int").alias("fold"))
+        for pdf in batches:
+            folds = []
+            for repeat, stratum, n in zip(pdf["repeat_id"], pdf["stratum"], pdf["n"]):
+                counts = load.setdefault((repeat, stratum), [0] * v)
+                k = counts.index(min(counts))
+                counts[k] += int(n)
+                folds.append(k + 1)
+            yield pdf[["component", "repeat_id"]].assign(fold=folds)
+
+    folds = rows.mapInPandas(pack, "component string, repeat_id int, fold int")
     return comps.join(folds, "component").select(first, "repeat_id", "fold")
 
 

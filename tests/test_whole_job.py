@@ -1,9 +1,12 @@
 """Operators over all of their input, beyond the sizes that used to be cut."""
 
+import hashlib
+
 import numpy as np
 
 from larkspur.llm import queries as llm_queries
 from larkspur.operators import guard as G
+from larkspur.operators import splits as S
 from larkspur.plans import registry
 
 
@@ -34,3 +37,19 @@ def test_short_lines_are_merged(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in llm_queries.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: rows[0][1], 2: "\n  \nother", 3: "          ", 4: rows[3][1]}
+
+
+def test_components_are_packed_by_one_rule(spark, monkeypatch):
+    monkeypatch.setattr(S, "PACK_LIMIT", 0, raising=False)
+    rows = [(i, i, i // (1 + i % 4) // 3, i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, subject long, batch long, y int")
+    plan = S.make_split_plan(df, "combined", id_col="id", constraints=["subject", "batch"], v=4, repeats=2, check=False)
+    own = {r["subject"]: r["component"] for r in S.constraint_components(df, ["subject", "batch"]).collect()}
+    want = set()
+    for repeat in (1, 2):
+        loads = [0] * 4
+        for c in sorted(set(own.values()), key=lambda c: hashlib.md5(f"1|pack|{repeat}|{c}".encode()).hexdigest()):
+            k, levels = loads.index(min(loads)), [g for g in own if own[g] == c]
+            loads[k] += len(levels)
+            want |= {(g, repeat, k + 1) for g in levels}
+    assert {(r["id"], r["repeat_id"], r["fold"]) for r in plan.assign.collect()} == want
