@@ -214,16 +214,9 @@ def _next_sync(data: bytes, view: np.ndarray, at: int, end: int) -> int:
     return end
 
 
-def scan(data: bytes) -> Stream:
-    """All of a stream's frames. Bytes without a frame give a stream of no samples."""
-    view = np.frombuffer(data, dtype=np.uint8)
-    start, tags = _read_id3(data)
-    end = len(data)
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        tags["id3v1_title"] = data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
-    out = Stream(np.empty(0, dtype=np.int64), tags=tags)
-    runs: list[tuple[int, int, Header]] = []  # first place, frames, header
+def _runs(data: bytes, view: np.ndarray, start: int, end: int, out: Stream) -> list[tuple[int, int, Header]]:
+    """First place, frames and header of each run of equal headers; the table and the skipped bytes go to out."""
+    runs: list[tuple[int, int, Header]] = []
     at = start
     while at < end:
         h = header(data, at)
@@ -232,7 +225,7 @@ def scan(data: bytes) -> Stream:
             out.skipped += found - at
             at = found
             continue
-        if not runs and (table := _read_table(data[at : at + h.size], h)):
+        if not runs and not out.table and (table := _read_table(data[at : at + h.size], h)):
             out.table, at = table, at + h.size
             continue
         k, most = 1, (end - at) // h.size
@@ -242,6 +235,30 @@ def scan(data: bytes) -> Stream:
             k = most if same.all() else int(np.argmin(same))
         runs.append((at, k, h))
         at += k * h.size
+    return runs
+
+
+def _covered(data: bytes, runs: list[tuple[int, int, Header]], place: int) -> bool:
+    """Whether a frame lies over a place, and the stream ends or goes on with a compatible header after it."""
+    for at, k, h in runs:
+        if at <= place < at + k * h.size:
+            after = at + ((place - at) // h.size + 1) * h.size
+            return after == len(data) or _alike(h, header(data, after))
+    return False
+
+
+def scan(data: bytes) -> Stream:
+    """All of a stream's frames. Bytes without a frame give a stream of no samples."""
+    view = np.frombuffer(data, dtype=np.uint8)
+    start, tags = _read_id3(data)
+    end = len(data)
+    out = Stream(np.empty(0, dtype=np.int64), tags=tags)
+    runs = _runs(data, view, start, end, out)
+    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG" and not _covered(data, runs, end - 128):
+        end -= 128
+        tags["id3v1_title"] = data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
+        out = Stream(np.empty(0, dtype=np.int64), tags=tags)
+        runs = _runs(data, view, start, end, out)
     offsets, payload = [], []
     for at, k, h in runs:
         frames = view[at : at + k * h.size].reshape(k, h.size)

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 
+from larkspur.llm import mpeg_audio
 from larkspur.llm import queries as llm_queries
 from larkspur.operators import guard as G
 from larkspur.operators import splits as S
@@ -39,6 +40,14 @@ def test_short_lines_are_merged(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "\n  \nother", 3: "          ", 4: rows[3][1]}
 
 
+def test_payload_that_looks_like_a_tag_or_table():
+    for n in (576, 1152, 2880):
+        text = bytearray(b"x" * n)
+        text[21:25], text[n - 71 : n - 68] = b"VBRI", b"TAG"
+        s = mpeg_audio.scan(mpeg_audio.write(bytes(text), n))
+        assert s.payload == bytes(text) and s.table["kind"] == "Xing" and "id3v1_title" not in s.tags and s.skipped == 0
+
+
 def test_components_are_packed_by_one_rule(spark, monkeypatch):
     monkeypatch.setattr(S, "PACK_LIMIT", 0, raising=False)
     rows = [(i, i, i // (1 + i % 4) // 3, i % 2) for i in range(90)]
