@@ -36,7 +36,7 @@ COPIED_OWNERS = 3
 LIVE_ENTROPY = 3.0  # bits a character
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
-_WORDS = re.compile(rb"passw|secret|token|api_?key")
+_WORDS = re.compile(rb"p(?=assw)|s(?=ecret)|t(?=oken)|a(?=pi_?key)")  # one byte each: words may overlap
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # a shorter run fails, and runs don't overlap
 _TOKEN = re.compile(rb"[A-Za-z0-9+/_-]{28,}")

@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from larkspur.llm import mpeg_audio
+from larkspur.llm import mpeg_audio, secrets
 from larkspur.llm import queries as llm_queries
 from larkspur.operators import guard as G
 from larkspur.operators import splits as S
@@ -62,3 +62,7 @@ def test_components_are_packed_by_one_rule(spark, monkeypatch):
             loads[k] += len(levels)
             want |= {(g, repeat, k + 1) for g in levels}
     assert {(r["id"], r["repeat_id"], r["fold"]) for r in plan.assign.collect()} == want
+
+
+def test_overlapping_keywords():
+    assert [x[:3] for x in secrets.candidates(b"secretoken=abcdef123")] == [(5, 0, 20)]
