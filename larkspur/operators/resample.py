@@ -1,9 +1,8 @@
 """Fit and score over folds.
 
 The fold axis, the configuration axis and the learner axis are grouping
-columns: samples meet the fold table, and each group is fitted in a task. A
-fold too large for a task (over GROUP_ROWS rows) is fitted by pyspark.ml
-instead. Errors stay in their fold.
+columns: samples meet the fold table, and each group is fitted in a task, which
+holds the fold's train and test rows. Errors stay in their fold.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from larkspur.operators import metrics as M
 from larkspur.operators.audit import fit_logistic, fit_ols, predict_linear
 from larkspur.operators.splits import SplitPlan
 
-GROUP_ROWS = 2_000_000
 BUILT_IN = ("logistic", "ols", "elastic_net", "forest")
 
 
