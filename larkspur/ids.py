@@ -4,6 +4,8 @@ Random orders are the order of ``md5(seed|purpose|...|key)``: the same for any
 partitioning, and the same in any engine that has md5. Global ranks and sums
 are made in two levels: rows fall into value buckets, the buckets' totals
 (a small table) give each bucket's offset, and a window ranks within a bucket.
+Buckets are of equal width for tables that one task could sort, and cut at
+quantiles beyond, so that outliers don't leave all others in one bucket.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from larkspur.errors import ColumnError, InputError
 
 HASH_DIGITS = 3  # 4096 buckets of hash order
 VALUE_BUCKETS = 1024
+SORT_ROWS = 1_000_000  # that one task sorts at most without cuts at quantiles
 
 
 def need_columns(df: DataFrame, *columns: str | None) -> None:
@@ -60,11 +63,7 @@ def running(df: DataFrame, by: list[str], value: str, sums: dict[str, str], *tie
 
     sums: new column -> column to sum. Rows must be distinct in by, value and ties.
     """
-    lo, hi = F.min(F.col(value).cast("double")).alias("lo"), F.max(F.col(value).cast("double")).alias("hi")
-    bounds = df.agg(lo, hi).first()
-    width = (bounds["hi"] - bounds["lo"]) if bounds["lo"] is not None else 0.0
-    share = (F.col(value).cast("double") - F.lit(bounds["lo"] or 0.0)) / F.lit(width or 1.0)
-    keyed = df.withColumn("__b", F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1)).cast("int"))
+    keyed = _value_buckets(df, value)
     totals = keyed.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__b", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
@@ -73,6 +72,22 @@ def running(df: DataFrame, by: list[str], value: str, sums: dict[str, str], *tie
     return out.drop("__b", *[f"__o_{n}" for n in sums])
 
 
+def _value_buckets(df: DataFrame, value: str) -> DataFrame:
+    """df with __b, rising with value."""
+    number = F.col(value).cast("double")
+    bounds = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if bounds["n"] <= SORT_ROWS:
+        width = (bounds["hi"] - bounds["lo"]) if bounds["lo"] is not None else 0.0
+        share = (number - F.lit(bounds["lo"] or 0.0)) / F.lit(width or 1.0)
+        return df.withColumn("__b", F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1)).cast("int"))
+    from pyspark.ml.feature import Bucketizer
+
+    keyed = df.withColumn("__v", number)
+    cuts = keyed.approxQuantile("__v", [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 0.25 / VALUE_BUCKETS)
+    splits = [float("-inf"), *sorted({c for c in cuts if abs(c) != float("inf")}), float("inf")]
+    return Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(keyed).withColumn("__b", F.col("__b").cast("int")).drop("__v")
+
+
 def value_ranked(df: DataFrame, by: list[str], value: str, *ties: str, name: str = "rn") -> DataFrame:
     """df with the rank (from 1) within by, by a numeric column and then ties."""
     return running(df.withColumn("__one", F.lit(1).cast("long")), by, value, {name: "__one"}, *ties).drop("__one")

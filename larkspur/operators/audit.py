@@ -19,13 +19,13 @@ from larkspur.operators.guard import long_form
 from larkspur.operators.splits import SplitPlan
 
 BATCH_COLUMNS = ("batch", "plate", "center", "site", "study")
-#: What each kind of evidence points to: mechanism, the audit's part, its statistics, meaning.
+#: Fixed values that results hold: mechanism, the audit's part, its statistics.
 TAXONOMY = (
-    ("non_random_signal", "permutation_gap", "gap,p_value", "The score is better than under permuted labels."),
-    ("confounding_alignment", "batch_assoc", "pval,cramer_v", "Folds align with batches or studies."),
-    ("proxy_target_leakage", "target_assoc", "score,p_value,p_value_adj", "A predictor stands in for the outcome."),
-    ("duplicate_overlap", "duplicates", "similarity,cross_fold", "Near copies lie on both sides of a split."),
-    ("temporal_lookahead", "duplicates", "cross_fold,time-aware split", "Similar rows break the order of time."),
+    ("non_random_signal", "permutation_gap", "gap,p_value"),
+    ("confounding_alignment", "batch_assoc", "pval,cramer_v"),
+    ("proxy_target_leakage", "target_assoc", "score,p_value,p_value_adj"),
+    ("duplicate_overlap", "duplicates", "similarity,cross_fold"),
+    ("temporal_lookahead", "duplicates", "cross_fold,time-aware split"),
 )
 
 
@@ -406,7 +406,7 @@ def mechanism_summary(gap: dict | None, batch: list[dict], target: list[dict], d
         "duplicate_overlap": (bool(dup["cross"]), dup["sim"], None),
         "temporal_lookahead": (split_mode == "time_series" and bool(dup["cross"]), None, None),
     }
-    return [{"mechanism_class": m, "flagged": bool(out[m][0]), "evidence": e, "statistic": out[m][1], "p_value": out[m][2]} for m, e, _, _ in TAXONOMY]
+    return [{"mechanism_class": m, "flagged": bool(out[m][0]), "evidence": e, "statistic": out[m][1], "p_value": out[m][2]} for m, e, _ in TAXONOMY]
 
 
 @dataclass
@@ -419,6 +419,12 @@ class AuditResult:
     mechanisms: list[dict]
     info: dict = field(default_factory=dict)
 
+    def plot(self) -> list[dict]:
+        """What a plot of the audit draws: the histogram of permuted values, and the observed one."""
+        ok = [v for v in self.perm_values if v is not None]
+        counts, edges = np.histogram(ok, 20) if ok else ([], [])
+        return [{"lo": float(a), "hi": float(b), "n": int(n), "observed": self.permutation_gap["metric_obs"]} for a, b, n in zip(edges[:-1], edges[1:], counts)]
+
     def describe(self) -> str:
         g = self.permutation_gap
         lines = [f"{self.info['metric']}: {g['metric_obs']:.4g}, permuted {g['perm_mean']:.4g}, gap {g['gap']:.4g} ({gap_words(g['gap'])}), p {g['p_value']:.4g}"]
@@ -465,6 +471,20 @@ def audit_leakage(predictions: DataFrame, plan: SplitPlan, metric: str, task: st
     return AuditResult(gap_row, values, batch, target, dups, mechanism_summary(gap_row, batch, target, dups, plan.mode), info)
 
 
+def tuned_predictions(outer: DataFrame) -> DataFrame:
+    """The outer predictions of a tuning result as those of one learner: fold is the outer fold's place among all repeats."""
+    order = Window.orderBy("outer_repeat", "outer_fold")  # one row for each outer fold
+    folds = outer.select("outer_repeat", "outer_fold").distinct().withColumn("fold", F.row_number().over(order).cast("int"))
+    return outer.join(F.broadcast(folds), ["outer_repeat", "outer_fold"]).drop("outer_repeat", "outer_fold").withColumn("learner", F.lit("tuned"))
+
+
+def audit_tuned(result, plan: SplitPlan, metric: str = "auc", n: int = 200, **more) -> AuditResult:
+    """All audits of a tuning result's outer predictions."""
+    if result.outer.limit(1).count() == 0:
+        raise AuditError("the tuning result holds no outer predictions")
+    return audit_leakage(tuned_predictions(result.outer), plan, metric, "binomial", n, learner="tuned", **more)
+
+
 def audit_by_learner(predictions: DataFrame, plan: SplitPlan, metric: str, task: str, n: int = 200, **more) -> dict[str, AuditResult]:
     learners = [r[0] for r in predictions.select("learner").distinct().orderBy("learner").collect()]
     return {x: audit_leakage(predictions, plan, metric, task, n, learner=x, **more) for x in learners}

@@ -192,11 +192,24 @@ def _cindex_cells(ties: DataFrame, count, schema) -> DataFrame:
     return inside.select("good", "pairs").unionAll(across).agg(F.sum("good").alias("good"), F.sum("pairs").alias("pairs"))
 
 
-def evaluate(df: DataFrame, metric: str, task: str, truth: str = "truth", pred: str = "pred", by: list[str] = (), **more) -> DataFrame:
-    """by and a column named metric; metrics that don't suit the task are an error."""
+def evaluate(df: DataFrame, metric: str, task: str, truth: str = "truth", pred: str = "pred", by: list[str] = (), levels: list[str] | None = None, guess: str = "pred_class", probabilities: str = "probabilities", event: str = "event", **more) -> DataFrame:
+    """by and a column named metric; metrics that don't suit the task are an error.
+
+    Multiclass frames hold a class in guess and, for log_loss, probabilities in
+    the order of levels; survival frames hold event, and pred is a risk.
+    """
     if metric not in APPLICABLE[task]:
         raise InputError(f"{metric} doesn't apply to {task} outcomes")
-    return {"auc": auc, "pr_auc": pr_auc, "accuracy": accuracy, "log_loss": log_loss, "rmse": rmse, "cindex": cindex, "macro_f1": macro_f1}[metric](df, truth, pred, by, **more)
+    if task == "multiclass":
+        if metric == "log_loss":
+            if levels is None:
+                raise InputError("log_loss of several classes needs their levels")
+            return multiclass_log_loss(df, levels, truth, probabilities, by)
+        own = guess if guess in df.columns else pred
+        return accuracy(df, truth, own, by, None) if metric == "accuracy" else macro_f1(df, truth, own, by)
+    if task == "survival":
+        return cindex(df, truth, pred, by, event, more.pop("risk", True), **more)
+    return {"auc": auc, "pr_auc": pr_auc, "accuracy": accuracy, "log_loss": log_loss, "rmse": rmse, "cindex": cindex}[metric](df, truth, pred, by, **more)
 
 
 def placements(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] = ("fold",)) -> DataFrame:

@@ -13,29 +13,37 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.errors import FitError, InputError, ValidationWarning, warn
+from larkspur.operators import guard, uncertainty
+from larkspur.operators import learners as nets
 from larkspur.operators import metrics as M
 from larkspur.operators.audit import fit_logistic, fit_ols, predict_linear
-from larkspur.operators.splits import SplitPlan
+from larkspur.operators.splits import SplitPlan, checkpointed
 
 BUILT_IN = ("logistic", "ols", "elastic_net", "forest")
+TASKS = {"logistic": ("binomial",), "ols": ("gaussian",), "elastic_net": ("binomial", "multiclass", "gaussian", "survival"), "forest": ("binomial", "multiclass", "gaussian")}
+REFIT_MOST = 200  # permutations up to which an audit refits of its own accord
 
 
 @dataclass
 class ResampleFit:
-    predictions: DataFrame  # id, repeat_id, fold, learner, truth, pred
+    predictions: DataFrame  # id, repeat_id, fold, fold_seq, learner, truth, pred; pred_class and pred_<level> of classes; event of survival
     metrics: DataFrame  # repeat_id, fold, learner, n_test and the metrics
     fold_status: DataFrame  # repeat_id, fold, learner, status, reason, elapsed_sec
     info: dict = field(default_factory=dict)
+    final: dict | None = None  # the first learner, fitted on all rows: learner, model, guard
 
-    def summary(self) -> DataFrame:
-        """(learner, metric, mean, sd) over folds."""
-        names = self.info["metrics"]
-        long = self.metrics.select("learner", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("x")).select("learner", "x.*")
-        return long.groupBy("learner", "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    def summary(self, level: float = 0.95) -> DataFrame:
+        """(learner, metric, mean, sd, ci_lo, ci_hi) over folds, with intervals corrected for the overlap of train sets."""
+        rows = uncertainty.cv_ci(self.metrics, self.info["metrics"], level, "nadeau_bengio", self.info["n_train"], self.info["n_test"])
+        return self.metrics.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "learner string, metric string, mean double, sd double, ci_lo double, ci_hi double")
+
+    def describe(self) -> str:
+        return "\n".join(f"{r['learner']} {r['metric']}: {r['mean']:.4g} (sd {r['sd'] if r['sd'] is not None else float('nan'):.4g})" for r in self.summary().orderBy("learner", "metric").collect())
 
 
 def guard_columns(plan: SplitPlan, outcome: str, columns: list[str]) -> list[str]:
@@ -75,117 +83,269 @@ def logistic_predictions(df: DataFrame, outcome: str, features: list[str], id_co
     return each.groupBy(*by, "config").applyInPandas(fit, kinds)
 
 
-def fit_resample(df: DataFrame, outcome: str, plan: SplitPlan, task: str, learners: dict[str, str | tuple[Callable, Callable]], features: list[str], metrics: list[str] | None = None, class_weights: dict | None = None, threshold: float = 0.5, seed: int = 1) -> ResampleFit:
+def resolve_metrics(names: list | None, task: str) -> tuple[list[str], dict[str, Callable]]:
+    """Built-in metrics that suit the task, and the caller's own, as (name, function) pairs: f(df, truth, pred, by) -> by, name. The task's own where nothing is left."""
+    own = {m[0]: m[1] for m in names or [] if not isinstance(m, str)}
+    if own and task == "survival":
+        raise InputError("metrics of one's own don't apply to survival outcomes")
+    named = ["auc" if m == "roc_auc" else m for m in names or [] if isinstance(m, str)]
+    if bad := [m for m in named if m not in M.APPLICABLE[task]]:
+        warn(f"metrics that don't apply to {task} are left out: {bad}", ValidationWarning)
+    chosen = list(dict.fromkeys(m for m in named if m in M.APPLICABLE[task]))
+    return chosen if chosen or own else list(M.APPLICABLE[task]), own
+
+
+def guarded_folds(rows: DataFrame, id_col: str, keep: list[str], numeric: list[str], categorical: list[str], config: guard.GuardConfig) -> tuple[DataFrame, list[dict]]:
+    """Rows of folds with array x as a guard of the fold's train rows makes it, and each fold's record (error, if it failed). rows: repeat_id, fold, role, y, keep, columns."""
+    made, records = None, []
+    for r in rows.select("repeat_id", "fold").distinct().orderBy("repeat_id", "fold").collect():
+        one = rows.where((F.col("repeat_id") == r["repeat_id"]) & (F.col("fold") == r["fold"]))
+        try:
+            model = guard.fit(one.where("role = 'train'"), numeric, categorical, config, y="y", id_col=id_col)
+            x = model.transform(one, keep)
+        except Exception as e:  # noqa: BLE001  a fold's error is that fold's
+            records.append(r.asDict() | {"error": str(e)[:200]})
+            continue
+        names = [c for c in x.columns if c not in keep]
+        x = x.select(*keep, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+        made = x if made is None else made.unionAll(x)
+        records.append(r.asDict() | {"columns": names} | model.diagnostics)
+    return made, records
+
+
+def fit_resample(
+    df: DataFrame, outcome: str, plan: SplitPlan, task: str, learners: dict, features: list[str], metrics: list | None = None, class_weights: dict | list | None = None, threshold: float = 0.5, seed: int = 1,
+    preprocess: guard.GuardConfig | None = None, categorical: list[str] = (), event: str | None = None, refit: bool = False,
+) -> ResampleFit:
     """Out-of-fold predictions of every learner, their metrics by fold, and each fold's fate.
 
-    learners: name -> "logistic", "ols", or a pair of functions
-    fit(x, y, task, weights) and predict(model, x, task) over numpy arrays;
-    "elastic_net" and "forest" are fitted by pyspark.ml, fold by fold.
+    task: binomial (0 and 1), multiclass, gaussian, or survival (outcome is the
+    time, event the column that is 1 where it was observed).
+    learners: name -> "logistic", "ols", "elastic_net" (penalty by inner
+    cross-validation) or "forest"; a pair of functions fit(x, y, task, weights)
+    and predict(model, x, task) over numpy arrays; or any pyspark.ml Estimator
+    over the columns features, label and weight. An Estimator that is a
+    Pipeline gets the raw columns beside label and weight and is fitted on the
+    fold's train rows, its own preprocessing included.
+    preprocess: the guard that is fitted on each fold's train rows; without it,
+    train medians fill holes and columns are scaled by train deviations.
+    class_weights: level -> weight, or weights in the order of levels.
+    refit: the first learner is fitted on all rows as well.
+
+    The folds' train and test rows go through one task each; pyspark.ml
+    learners are fitted by the cluster, fold by fold.
     """
+    if task not in M.APPLICABLE:
+        raise InputError(f"task is one of {', '.join(M.APPLICABLE)}")
     if clash := [n for n, f in learners.items() if n in BUILT_IN and not isinstance(f, str)]:
         raise InputError(f"custom learners may not take the names of built-in ones: {clash}")
-    known = M.APPLICABLE[task]
-    chosen = [m for m in metrics or known if m in known and m != "macro_f1"]
-    if metrics and (bad := [m for m in metrics if m not in known]):
-        warn(f"metrics that don't apply to {task} are left out: {bad}", ValidationWarning)
-    features, id_col = guard_columns(plan, outcome, features), plan.id_col
-    local = {n: f for n, f in learners.items() if f not in ("elastic_net", "forest")}
-    x = df.select(id_col, F.col(outcome).cast("double").alias("truth"), *[F.col(c).cast("double").alias(c) for c in features])
+    if bad := [f for f in learners.values() if isinstance(f, str) and task not in TASKS.get(f, ())]:
+        raise InputError(f"no learners of {task} outcomes: {bad}")
+    if task == "survival" and not event:
+        raise InputError("survival outcomes need an event column")
+    chosen, own = resolve_metrics(metrics, task)
+    id_col = plan.id_col
+    features = [c for c in guard_columns(plan, outcome, features) if c != event]
+    categorical = [c for c in guard_columns(plan, outcome, list(categorical)) if c != event]
+    levels = [r[0] for r in df.select(F.col(outcome).cast("string")).where(F.col(outcome).isNotNull()).distinct().orderBy(outcome).collect()] if task == "multiclass" else ["0", "1"]
+    if isinstance(class_weights, list):
+        class_weights = dict(zip(levels, class_weights))
+    weights = {str(int(k) if isinstance(k, float) and k == int(k) else k): float(v) for k, v in (class_weights or {}).items()}
+    y = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(outcome).cast("string")).cast("double") - 1 if task == "multiclass" else F.col(outcome).cast("double")
+    given = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])[F.col(outcome).cast("string") if task == "multiclass" else F.col(outcome).cast("int").cast("string")] if weights else F.lit(None)
+    base = df.select(id_col, y.alias("y"), (F.col(event).cast("double") if event else F.lit(None).cast("double")).alias("event"), F.coalesce(given.cast("double"), F.lit(1.0)).alias("weight"), *features, *categorical)
     index = plan.fold_index()
+    rows = index.join(base, id_col)
+    keep = [id_col, "repeat_id", "fold", "role", "y", "event", "weight"]
+    records: list[dict] = []
+    ml = {n: f for n, f in learners.items() if f == "forest" or hasattr(f, "fit") and hasattr(f, "getParam")}
+    local = {n: f for n, f in learners.items() if n not in ml}
+    if preprocess or categorical or any(not hasattr(f, "getStages") for f in ml.values()):
+        ready, records = guarded_folds(rows, id_col, keep, features, categorical, preprocess or guard.GuardConfig(winsorize=False))
+        if ready is None:
+            raise FitError("no fold could be preprocessed: " + records[0]["error"])
+        ready = checkpointed(ready)
+    else:
+        ready = rows.select(*keep, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     parts, status = [], []
     if local:
-        kind = df.schema[id_col].dataType.simpleString()
-        schema = f"repeat_id int, fold int, learner string, {id_col} {kind}, truth double, pred double, status string, reason string, elapsed_sec double, n_train long"
-        weights = dict(class_weights or {})
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(id_col)
-            rep, fold = int(pdf["repeat_id"].iloc[0]), int(pdf["fold"].iloc[0])
-            tr, te = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-            out = []
-            for name, learner in local.items():
-                began, pred, state, reason = time.time(), np.full(len(te), np.nan), "success", ""
-                try:
-                    y = tr["truth"].to_numpy()
-                    if task == "binomial" and len(np.unique(y)) < 2:
-                        state, reason = "skipped", "single_class_training"
-                    else:
-                        np.random.seed(seed + fold)
-                        a, b = _scale(tr[features].to_numpy(), te[features].to_numpy())
-                        w = np.array([weights.get(v, 1.0) for v in y])
-                        if learner == "logistic":
-                            pred = predict_linear(fit_logistic(a, y, w), b, True)
-                        elif learner == "ols":
-                            pred = predict_linear(fit_ols(a, y, w), b, False)
-                        else:
-                            pred = np.asarray(learner[1](learner[0](a, y, task, w), b, task), dtype=float)
-                            if len(pred) != len(te):
-                                raise ValueError("as many predictions as test rows are needed")
-                except Exception as e:  # noqa: BLE001  a fold's error is that fold's
-                    state, reason, pred = "failed", f"fold_error: {e}", np.full(len(te), np.nan)
-                out.append(pd.DataFrame({"repeat_id": rep, "fold": fold, "learner": name, id_col: te[id_col].to_numpy(), "truth": te["truth"].to_numpy(), "pred": pred, "status": state, "reason": reason, "elapsed_sec": time.time() - began, "n_train": len(tr)}))
-            return pd.concat(out)
-
-        from larkspur.operators.splits import checkpointed
-
-        rows = checkpointed(index.join(x, id_col).groupBy("repeat_id", "fold").applyInPandas(run, schema))
-        parts.append(rows.where("status = 'success'").select(id_col, "repeat_id", "fold", "learner", "truth", "pred"))
-        status.append(rows.groupBy("repeat_id", "fold", "learner").agg(F.first("status").alias("status"), F.first("reason").alias("reason"), F.max("elapsed_sec").alias("elapsed_sec")))
-    for name, f in learners.items():
-        if f in ("elastic_net", "forest"):
-            p, s = _ml_folds(x, index, id_col, features, task, name, f, seed)
-            parts.append(p)
-            status.append(s)
+        made = checkpointed(ready.groupBy("repeat_id", "fold").applyInPandas(_fold_task(local, task, id_col, len(levels), seed, not records), _fold_schema(df.schema[id_col].dataType.simpleString(), id_col)))
+        parts.append(made.where("status = 'success'").drop("status", "reason", "elapsed_sec"))
+        status.append(made.groupBy("repeat_id", "fold", "learner").agg(F.first("status").alias("status"), F.first("reason").alias("reason"), F.max("elapsed_sec").alias("elapsed_sec")))
+    for name, f in ml.items():
+        p, s = _ml_folds(rows if hasattr(f, "getStages") else ready, id_col, task, name, f, seed, len(levels))
+        parts.append(p)
+        status.append(s)
+    failed = [(r["repeat_id"], r["fold"], n, "failed", f"fold_error: {r['error']}", 0.0) for r in records if "error" in r for n in learners]
+    if failed:
+        status.append(df.sparkSession.createDataFrame(failed, "repeat_id int, fold int, learner string, status string, reason string, elapsed_sec double"))
     predictions, fold_status = parts[0], status[0]
-    for p, s in zip(parts[1:], status[1:]):
-        predictions, fold_status = predictions.unionByName(p), fold_status.unionByName(s)
+    for p in parts[1:]:
+        predictions = predictions.unionByName(p)
+    for s in status[1:]:
+        fold_status = fold_status.unionByName(s)
     if not predictions.limit(1).count():
         raise FitError("no fold could be fitted")
-    predictions = predictions.withColumn("pred_class", (F.col("pred") >= threshold).cast("int")) if task == "binomial" else predictions
+    sequence = Window.orderBy("repeat_id", "fold")  # one row for each fold
+    numbered = index.select("repeat_id", "fold").distinct().withColumn("fold_seq", F.row_number().over(sequence))
+    predictions = predictions.join(F.broadcast(numbered), ["repeat_id", "fold"])
+    if task == "binomial":
+        predictions = predictions.withColumns({"pred_class": (F.col("pred") >= threshold).cast("int"), "pred_0": 1 - F.col("pred"), "pred_1": F.col("pred")}).drop("probabilities", "event")
+    elif task == "multiclass":
+        named = F.array(*[F.lit(x) for x in levels])
+        best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+        predictions = predictions.withColumns({"truth": F.element_at(named, F.col("truth").cast("int") + 1), "pred_class": F.element_at(named, best), "pred": F.array_max("probabilities"), **{f"pred_{x}": F.element_at("probabilities", i + 1) for i, x in enumerate(levels)}}).drop("event")
+    else:
+        predictions = predictions.drop("probabilities") if task == "survival" else predictions.drop("probabilities", "event")
     by = ["repeat_id", "fold", "learner"]
     table = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test"))
     for m in chosen:
-        table = table.join(M.evaluate(predictions, m, task, "truth", "pred", by), by, "left")
-    return ResampleFit(predictions, table, fold_status, {"metrics": chosen, "task": task, "features": features, "seed": seed})
+        table = table.join(M.evaluate(predictions, m, task, "truth", "pred", by, **({"levels": levels} if task == "multiclass" else {})), by, "left")
+    for m, f in own.items():
+        table = table.join(f(predictions, "truth", "pred", by).select(*by, m), by, "left")
+    sizes = plan.summary().agg(F.avg("train_n").alias("a"), F.avg("test_n").alias("b")).first()
+    info = {"metrics": [*chosen, *own], "task": task, "features": features, "seed": seed, "levels": levels, "guard": records, "n_train": sizes["a"], "n_test": sizes["b"], "class_weights": weights}
+    info["refit"] = {"df": df, "outcome": outcome, "plan": plan, "features": features}
+    final = _final(df, base, learners, task, id_col, features, categorical, preprocess, len(levels), seed) if refit else None
+    return ResampleFit(predictions, table, fold_status, info, final)
 
 
-def _ml_folds(x: DataFrame, index: DataFrame, id_col: str, features: list[str], task: str, name: str, kind: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """pyspark.ml learners: one pipeline for each fold, fitted on its train rows by the cluster."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+def _fit_local(learner, x: np.ndarray, y: np.ndarray, task: str, weights: np.ndarray):
+    if learner == "logistic":
+        return fit_logistic(x, y, weights)
+    if learner == "ols":
+        return fit_ols(x, y, weights)
+    if learner == "elastic_net":
+        return nets.fit_elastic_net(x, y, task, weights)
+    return learner[0](x, y, task, weights)
 
-    binary = task == "binomial"
-    common = {"featuresCol": "__z", "labelCol": "truth", "predictionCol": "__p"}
-    if kind == "elastic_net":
-        model = (LogisticRegression if binary else LinearRegression)(elasticNetParam=0.9, regParam=0.01, standardization=False, **common)
-    else:
-        model = (RandomForestClassifier if binary else RandomForestRegressor)(seed=seed, **common)
-    stages = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=features), VectorAssembler(inputCols=features, outputCol="__x"), StandardScaler(withMean=True, inputCol="__x", outputCol="__z"), model])
-    spark, predictions, status = x.sparkSession, None, []
-    from pyspark.ml.functions import vector_to_array
-
-    for r in index.select("repeat_id", "fold").distinct().orderBy("repeat_id", "fold").collect():
-        began, one = time.time(), index.where((F.col("repeat_id") == r["repeat_id"]) & (F.col("fold") == r["fold"]))
-        train, test = (x.join(one.where(F.col("role") == role).select(id_col), id_col, "left_semi") for role in ("train", "test"))
+
+def _predict_local(learner, model, x: np.ndarray, task: str) -> np.ndarray:
+    if learner in ("logistic", "ols"):
+        return predict_linear(model, x, learner == "logistic")
+    return np.asarray(nets.predict_net(model, x, task) if learner == "elastic_net" else learner[1](model, x, task), dtype=float)
+
+
+def _fold_schema(kind: str, id_col: str) -> str:
+    return f"repeat_id int, fold int, learner string, {id_col} {kind}, truth double, event double, pred double, probabilities array<double>, status string, reason string, elapsed_sec double"
+
+
+def _fold_task(learners: dict, task: str, id_col: str, n_levels: int, seed: int, scale: bool):
+    """A fold's rows to the predictions of all learners. scale: x is raw."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col)
+        rep, fold = int(pdf["repeat_id"].iloc[0]), int(pdf["fold"].iloc[0])
+        tr, te = pdf[(pdf["role"] == "train") & pdf["y"].notna()], pdf[pdf["role"] == "test"]
+        a, b = (np.stack(t["x"].to_numpy()).astype(float) if len(t) else np.empty((0, 0)) for t in (tr, te))
+        if scale and len(tr) and len(te):
+            a, b = _scale(a, b)
+        y = np.column_stack((tr["y"], tr["event"])) if task == "survival" else tr["y"].to_numpy()
+        out = []
+        for name, learner in learners.items():
+            began, pred, chances, state, reason = time.time(), np.full(len(te), np.nan), [None] * len(te), "success", ""
+            try:
+                if task in ("binomial", "multiclass") and len(np.unique(y)) < 2:
+                    state, reason = "skipped", "single_class_training"
+                else:
+                    np.random.seed(seed + fold)
+                    made = _predict_local(learner, _fit_local(learner, a, y, task, tr["weight"].to_numpy()), b, task)
+                    if len(made) != len(te):
+                        raise ValueError("as many predictions as test rows are needed")
+                    if task == "multiclass":
+                        if made.ndim != 2:
+                            raise ValueError("a probability for each class is needed")
+                        chances = np.pad(made, ((0, 0), (0, max(0, n_levels - made.shape[1])))).tolist()
+                    else:
+                        pred = made
+            except Exception as e:  # noqa: BLE001  a fold's error is that fold's
+                state, reason = "failed", f"fold_error: {e}"
+            out.append(pd.DataFrame({"repeat_id": rep, "fold": fold, "learner": name, id_col: te[id_col].to_numpy(), "truth": te["y"].to_numpy(), "event": te["event"].to_numpy(), "pred": pred, "probabilities": chances, "status": state, "reason": reason, "elapsed_sec": time.time() - began}))
+        return pd.concat(out)
+
+    return run
+
+
+def _estimator(kind, task: str, seed: int):
+    """(estimator, whether it takes raw columns) over the columns features, label and weight."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    if kind == "forest":
+        return (RandomForestRegressor if task == "gaussian" else RandomForestClassifier)(seed=seed, featuresCol="features", labelCol="label", weightCol="weight")
+    return kind
+
+
+def _ml_folds(rows: DataFrame, id_col: str, task: str, name: str, kind, seed: int, n_levels: int) -> tuple[DataFrame, DataFrame]:
+    """pyspark.ml learners: one fit for each fold, on its train rows, by the cluster. rows: of guarded_folds(), or raw ones for a Pipeline."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    spark, predictions, status = rows.sparkSession, None, []
+    classes = task in ("binomial", "multiclass")
+    ready = rows.withColumn("label", F.col("y"))
+    ready = ready.withColumn("features", array_to_vector("x")) if "x" in rows.columns else ready
+    for r in ready.select("repeat_id", "fold").distinct().orderBy("repeat_id", "fold").collect():
+        began, one = time.time(), ready.where((F.col("repeat_id") == r["repeat_id"]) & (F.col("fold") == r["fold"]))
+        train, test = one.where("role = 'train' and label is not null"), one.where("role = 'test'")
         state, reason = "success", ""
         try:
-            if binary and train.select("truth").distinct().limit(2).count() < 2:
+            if classes and train.select("label").distinct().limit(2).count() < 2:
                 state, reason = "skipped", "single_class_training"
             else:
-                scored = stages.fit(train).transform(test)
-                pred = vector_to_array("probability")[1] if binary else F.col("__p")
-                part = scored.select(id_col, F.lit(r["repeat_id"]).alias("repeat_id"), F.lit(r["fold"]).alias("fold"), F.lit(name).alias("learner"), "truth", pred.alias("pred"))
+                scored = _estimator(kind, task, seed).fit(train).transform(test)
+                chances = vector_to_array("probability") if classes and "probability" in scored.columns else F.lit(None).cast("array<double>")
+                pred = F.lit(None).cast("double") if task == "multiclass" else F.coalesce(chances[1], F.col("prediction")) if classes else F.col("prediction")
+                part = scored.select("repeat_id", "fold", F.lit(name).alias("learner"), id_col, F.col("y").alias("truth"), "event", pred.alias("pred"), chances.alias("probabilities"))
                 predictions = part if predictions is None else predictions.unionAll(part)
         except Exception as e:  # noqa: BLE001
             state, reason = "failed", f"fold_error: {str(e)[:200]}"
         status.append((r["repeat_id"], r["fold"], name, state, reason, time.time() - began))
     if predictions is None:
-        predictions = x.limit(0).select(id_col, F.lit(1).alias("repeat_id"), F.lit(1).alias("fold"), F.lit(name).alias("learner"), "truth", F.lit(0.0).alias("pred"))
+        predictions = rows.limit(0).select("repeat_id", "fold", F.lit(name).alias("learner"), id_col, F.col("y").alias("truth"), "event", F.lit(0.0).alias("pred"), F.lit(None).cast("array<double>").alias("probabilities"))
     return predictions, spark.createDataFrame(status, "repeat_id int, fold int, learner string, status string, reason string, elapsed_sec double")
 
 
+def _final(df: DataFrame, base: DataFrame, learners: dict, task: str, id_col: str, features: list[str], categorical: list[str], preprocess, n_levels: int, seed: int) -> dict:
+    """The first learner on all rows, with the guard of all rows."""
+    from pyspark.ml.functions import array_to_vector
+
+    name, learner = next(iter(learners.items()))
+    rows = base.where("y is not null").withColumns({"role": F.lit("train"), "label": F.col("y")})
+    if hasattr(learner, "getStages"):
+        return {"learner": name, "model": learner.fit(rows), "guard": None}
+    model = guard.fit(rows, features, categorical, preprocess or guard.GuardConfig(winsorize=False), y="y", id_col=id_col)
+    x = model.transform(rows, [id_col, "y", "label", "event", "weight"])
+    names = [c for c in x.columns if c not in (id_col, "y", "label", "event", "weight")]
+    x = x.withColumn("x", F.array(*[F.col(c).cast("double") for c in names]))
+    if learner == "forest" or hasattr(learner, "getParam"):
+        return {"learner": name, "model": _estimator(learner, task, seed).fit(x.withColumn("features", array_to_vector("x"))), "guard": model, "columns": names}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col)
+        y = np.column_stack((pdf["y"], pdf["event"])) if task == "survival" else pdf["y"].to_numpy()
+        np.random.seed(seed)
+        return pd.DataFrame({"model": [cloudpickle.dumps(_fit_local(learner, np.stack(pdf["x"].to_numpy()).astype(float), y, task, pdf["weight"].to_numpy()))]})
+
+    held = x.select(F.lit(0).alias("all"), id_col, "y", "event", "weight", "x").groupBy("all").applyInPandas(run, "model binary").first()
+    return {"learner": name, "model": cloudpickle.loads(bytes(held["model"])), "guard": model, "columns": names}
+
+
+def permutation_gap(fit: ResampleFit, metric: str = "auc", n: int = 200, mode: str = "auto", learner: str | None = None, seed: int = 1, refit_most: int = REFIT_MOST) -> dict:
+    """The permutation gap of a fit. mode: fixed (labels against the predictions), refit, or auto: refit where the fit can be repeated and n is at most refit_most."""
+    from larkspur.operators import audit as A
+
+    spec = fit.info.get("refit")
+    if mode not in ("auto", "fixed", "refit"):
+        raise InputError("mode is auto, fixed or refit")
+    can = spec is not None and fit.info["task"] == "binomial" and metric == "auc"
+    if mode == "refit" and not can:
+        raise InputError("this fit can't be repeated under permutations")
+    if mode == "refit" or mode == "auto" and can and n <= refit_most:
+        return refit_gap(spec["df"], spec["outcome"], spec["plan"], spec["features"], n, seed) | {"mode": "refit"}
+    audit = A.audit_leakage(fit.predictions.withColumn("fold", F.col("fold_seq")), spec["plan"], metric, fit.info["task"], n, learner=learner, seed=seed, batch_columns=[])
+    return audit.permutation_gap | {"mode": "fixed"}
+
+
 def refit_gap(df: DataFrame, outcome: str, plan: SplitPlan, features: list[str], n: int, seed: int = 1, restricted: str = "global") -> dict:
     """The permutation gap with the logistic learner refitted under each permutation of the outcome; permutations and folds are groups of one job."""
     from larkspur.operators import permute as P

@@ -204,17 +204,21 @@ def constraint_components(samples: DataFrame, axes: list[str], rounds: int = 50)
         labels = nxt.select("g", F.col("n").alias("component"))
         if not changed:
             break
+    else:
+        raise SplitError(f"the components of {', '.join(axes)} didn't settle in {rounds} rounds")
     return samples.select(first).distinct().join(labels, F.col(first).cast("string") == F.col("g")).select(first, "component")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir; a temporary folder is set where none is."""
+    """df, written to the shared folder of spark.checkpoint.dir. Only sessions with a local master may leave that unset: then it's a temporary folder."""
     import tempfile
 
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise InputError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="larkspur-"))
     return df.checkpoint(eager=True)
 
 
@@ -261,6 +265,7 @@ def nested_plan(plan: SplitPlan, v: int = 3, seed: int | None = None) -> DataFra
     level = plan.info["group"] or plan.info["batch"] or plan.info["study"]
     if level is None:
         raise InputError("nested plans need a grouped outer plan")
+    strict_checks(is_strict(plan.samples.sparkSession), plan.info["seed"], True, plan.mode)
     seed = plan.info["seed"] + 1 if seed is None else seed
     train = plan.train().join(plan.samples.select(plan.id_col, level), plan.id_col)
     levels = train.select("repeat_id", "fold", level).distinct()

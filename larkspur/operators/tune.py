@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.errors import InputError
+from larkspur.errors import FoldWarning, InputError, ValidationWarning, warn
 from larkspur.operators import metrics as M
+from larkspur.operators.uncertainty import cv_ci
 
 GRID = [round(0.1 + 0.05 * i, 2) for i in range(17)]
 EPS = 1.490116e-08
@@ -65,6 +66,33 @@ def grid(**values: list) -> list[dict]:
     return [dict(zip(names, combo)) | {"config": f"c{i:03d}"} for i, combo in enumerate(itertools.product(*values.values()), 1)]
 
 
+def usable_metrics(metrics: list[str], inner: DataFrame, truth: str = "truth", by: list[str] = ("outer_repeat", "outer_fold", "fold")) -> list[str]:
+    """metrics (roc_auc is auc) without those that need both classes, where an inner assessment fold has one class only. inner: by, truth."""
+    named = list(dict.fromkeys("auc" if m == "roc_auc" else m for m in metrics))
+    if bad := [m for m in named if m not in M.APPLICABLE["binomial"]]:
+        warn(f"metrics that don't apply to binomial outcomes are left out: {bad}", ValidationWarning)
+    named = [m for m in named if m in M.APPLICABLE["binomial"]]
+    need = [m for m in named if m in ("auc", "pr_auc")]
+    if need and inner.groupBy(*by).agg(F.count_distinct(truth).alias("n")).where("n < 2").limit(1).count():
+        warn(f"inner folds of one class: {need} are left out", FoldWarning)
+        named = [m for m in named if m not in need]
+    return named or ["accuracy"]
+
+
+def threshold_stability(thresholds: DataFrame) -> DataFrame:
+    """n, mean, sd, lo, hi of the thresholds that outer folds chose."""
+    return thresholds.agg(F.count("threshold").alias("n"), F.avg("threshold").alias("mean"), F.stddev_samp("threshold").alias("sd"), F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))
+
+
+def outer_status(outer_folds: DataFrame, best: DataFrame, scored: DataFrame) -> DataFrame:
+    """outer_repeat, outer_fold, status, reason: failed where no configuration has a score, skipped where the tuned model predicts nothing. All arguments: outer_repeat, outer_fold."""
+    by = ["outer_repeat", "outer_fold"]
+    told = outer_folds.select(*by).distinct().join(best.select(*by).distinct().withColumn("b", F.lit(1)), by, "left").join(scored.select(*by).distinct().withColumn("s", F.lit(1)), by, "left")
+    status = F.when(F.col("b").isNull(), "failed").when(F.col("s").isNull(), "skipped").otherwise("success")
+    reason = F.when(F.col("b").isNull(), "no_valid_metrics").when(F.col("s").isNull(), "single_class_training").otherwise("")
+    return told.select(*by, status.alias("status"), reason.alias("reason"))
+
+
 @dataclass
 class TuneResult:
     scores: DataFrame  # outer_repeat, outer_fold, inner_fold, config, value
@@ -73,6 +101,23 @@ class TuneResult:
     outer: DataFrame  # id, outer fold's out-of-fold predictions
     final: dict
     info: dict = field(default_factory=dict)
+    fold_status: DataFrame | None = None  # outer_repeat, outer_fold, status, reason
+
+    def metrics(self) -> DataFrame:
+        """repeat_id, fold, learner, and the metric of each outer fold."""
+        named = self.outer.withColumnsRenamed({"outer_repeat": "repeat_id", "outer_fold": "fold"})
+        return M.evaluate(named, self.info["metric"], "binomial", "truth", "pred", ["repeat_id", "fold"]).withColumn("learner", F.lit("tuned"))
+
+    def summary(self, level: float = 0.95) -> list[dict]:
+        """Mean, deviation and interval of the outer folds' metric. Sizes of train sets aren't known here, so the variance is divided by the folds."""
+        return cv_ci(self.metrics(), [self.info["metric"]], level, "nadeau_bengio")
+
+    def stability(self) -> DataFrame | None:
+        return None if self.thresholds is None else threshold_stability(self.thresholds)
+
+    def describe(self) -> str:
+        r = self.summary()[0]
+        return f"{r['metric']}: {r['mean']:.4g} over outer folds, final {self.final}"
 
 
 def tune_resample(df: DataFrame, outcome: str, features: list[str], plan, configs: list[dict], simpler: dict[str, str], inner_v: int = 3, metric: str = "auc", rule: str = "best", tune_threshold: bool = False, threshold_metric: str = "f1") -> TuneResult:
@@ -84,6 +129,7 @@ def tune_resample(df: DataFrame, outcome: str, features: list[str], plan, config
     params = spark.createDataFrame([(c["config"], *[float(c[k]) for k in c if k != "config"]) for c in configs], ["config", *[k for k in configs[0] if k != "config"]])
     inner = nested_plan(plan, inner_v)
     inner_pred = logistic_predictions(df, outcome, features, id_col, inner.withColumnRenamed("inner_fold", "fold"), configs, ["outer_repeat", "outer_fold"])
+    metric = usable_metrics([metric], inner_pred)[0]
     scores = M.evaluate(inner_pred, metric, "binomial", "truth", "pred", ["outer_repeat", "outer_fold", "fold", "config"]).withColumnsRenamed({metric: "value", "fold": "inner_fold"})
     best = select_config(scores, params, simpler, rule, True, ["outer_repeat", "outer_fold"])
     thresholds = threshold_select(inner_pred.join(best.select("outer_repeat", "outer_fold", "config"), ["outer_repeat", "outer_fold", "config"]), "truth", "pred", threshold_metric, by=["outer_repeat", "outer_fold"]) if tune_threshold else None
@@ -93,4 +139,5 @@ def tune_resample(df: DataFrame, outcome: str, features: list[str], plan, config
         outer = outer.join(thresholds.select("outer_repeat", "outer_fold", "threshold"), ["outer_repeat", "outer_fold"]).withColumn("pred_class", (F.col("pred") >= F.col("threshold")).cast("int"))
     numeric = [k for k in configs[0] if k != "config"]
     final = aggregate_params(best.join(params, "config"), numeric).first().asDict()
-    return TuneResult(scores, best, thresholds, outer, final, {"rule": rule, "metric": metric})
+    status = outer_status(plan.assign.withColumnsRenamed({"repeat_id": "outer_repeat", "fold": "outer_fold"}), best, outer.where("pred is not null and not isnan(pred)"))
+    return TuneResult(scores, best, thresholds, outer, final, {"rule": rule, "metric": metric}, status)
