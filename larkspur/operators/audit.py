@@ -34,11 +34,21 @@ TAXONOMY = (
 
 def permutation_values(df: DataFrame, id_col: str, metric: str, task: str, n: int, truth: str = "truth", pred: str = "pred", seed: int = 1, labels: DataFrame | None = None) -> DataFrame:
     """(b, value): the pooled metric under each permutation of the truth; predictions stay. labels: (b, id, truth) of another scheme than the global one."""
+    if labels is None and metric == "auc" and not df.where(F.col(truth).isNull()).limit(1).count():
+        return _shuffled_auc(df, id_col, n, truth, pred, seed)
     labels = P.shuffled(df, id_col, truth, n, seed) if labels is None else labels
     scored = labels.join(df.select(id_col, pred), id_col)
     return M.evaluate(scored, metric, task, truth, pred, ["b"]).withColumnRenamed(metric, "value")
 
 
+def _shuffled_auc(df: DataFrame, id_col: str, n: int, truth: str, pred: str, seed: int) -> DataFrame:
+    """(b, value): AUCs of global shuffles. Scores are ranked once; a permutation is a sum of the ranks that its positives come to."""
+    ranked = P.places(M.midranks(df, pred), id_col, [], "mid").where("mid is not null").select("i", "mid")
+    y = F.col(truth)
+    sums = P.draws(df, id_col, truth, n, seed).join(ranked, "i").groupBy("b").agg(F.sum(F.when(y == 1, F.col("mid"))).alias("r"), F.count_if(y == 1).cast("double").alias("n1"), F.count_if(y == 0).cast("double").alias("n0"))
+    return sums.select("b", F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("value"))
+
+
 def observed(df: DataFrame, metric: str, task: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """(value): the metric pooled over all folds and repeats."""
     return M.evaluate(df, metric, task, truth, pred).withColumnRenamed(metric, "value")

@@ -20,6 +20,8 @@ NUMBER = r"^\s*-?\d+(\.\d+)?\s*$"
 ROBUST = 1.4826
 REFERENCE_ROWS = 50_000  # train rows in a block, and rows with holes that meet it at once
 ASKING_ROWS = 5_000
+EXACT_ROWS = 1_000_000  # whose distinct values one aggregate may hold for each column
+SKETCH = 10_000  # accuracy of quantile sketches
 LEVEL_LIMIT = 10_000  # distinct levels of one categorical column
 
 
@@ -122,16 +124,49 @@ def winsorized(x: Column, s: dict, config: GuardConfig) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))).alias(name)
 
 
+def quantiles(df: DataFrame, values: list[Column], shares: list[float], n: int) -> list[list[float | None]]:
+    """Exact quantiles (linear between neighbours) of each column expression; n: rows of df.
+
+    Up to EXACT_ROWS rows one aggregate holds the distinct values. Beyond, a
+    sketch brackets each quantile, the values below the bracket are counted, and
+    only those within it (some hundredths of a percent) are held.
+    """
+    if n <= EXACT_ROWS:
+        row = df.agg(*[F.percentile(v, F.array(*[F.lit(p) for p in shares])) for v in values]).first()
+        return [list(x) if x is not None else [None] * len(shares) for x in row]
+    slack = 4 / SKETCH
+    ends = [min(1.0, max(0.0, p + d)) for p in shares for d in (-slack, slack)]
+    brackets = df.agg(*[F.percentile_approx(v, F.array(*[F.lit(e) for e in ends]), F.lit(SKETCH)) for v in values]).first()
+    asked = [(i, j, brackets[i][2 * j], brackets[i][2 * j + 1]) for i in range(len(values)) if brackets[i] is not None for j in range(len(shares))]
+    inside = {(i, j): F.when(values[i].between(F.lit(lo), F.lit(hi)), values[i]) for i, j, lo, hi in asked}
+    counts = df.agg(*[e for i, j, lo, _ in asked for e in (F.count(values[i]), F.count_if(values[i] < lo), F.count(inside[i, j]))]).first() if asked else ()
+    out, take = [[None] * len(shares) for _ in values], []
+    for k, (i, j, *_) in enumerate(asked):
+        total, below, held = counts[3 * k : 3 * k + 3]
+        place = (total - 1) * shares[j] - below
+        if not 0 <= place <= held - 1:
+            raise InputError("a quantile lies outside its sketch's bracket")
+        take.append((i, j, place / (held - 1) if held > 1 else 0.0))
+    found = df.agg(*[F.percentile(inside[i, j], F.lit(p)) for i, j, p in take]).first() if take else ()
+    for (i, j, _), v in zip(take, found):
+        out[i][j] = v
+    return out
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """n, missing, mean, sd, var, median, iqr and mad (constant 1) of each column; two passes for all columns."""
+    """n, missing, mean, sd, var, median, iqr and mad (constant 1) of each column; three passes for all columns, more for large tables."""
     if not columns:
         return {}
-    q = lambda c, p: F.percentile(F.col(c), F.lit(p))
-    first = df.agg(*[e.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, e in (("n", F.count(c)), ("missing", F.count_if(F.col(c).isNull())), ("mean", F.avg(c)), ("sd", F.stddev_samp(c)), ("var", F.var_samp(c)), ("median", q(c, 0.5)), ("iqr", q(c, 0.75) - q(c, 0.25)))]).first()
-    stats = {c: {k: first[f"{k}_{i}"] for k in ("n", "missing", "mean", "sd", "var", "median", "iqr")} for i, c in enumerate(columns)}
-    second = df.agg(*[F.percentile(F.abs(F.col(c) - F.lit(stats[c]["median"])), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    for i, c in enumerate(columns):
-        stats[c]["mad"] = second[i]
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *[e.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, e in (("n", F.count(c)), ("missing", F.count_if(F.col(c).isNull())), ("mean", F.avg(c)), ("sd", F.stddev_samp(c)), ("var", F.var_samp(c)))]).first()
+    stats = {c: {k: first[f"{k}_{i}"] for k in ("n", "missing", "mean", "sd", "var")} for i, c in enumerate(columns)}
+    for c, (lo, median, hi) in zip(columns, quantiles(df, [F.col(c).cast("double") for c in columns], [0.25, 0.5, 0.75], first["rows"])):
+        stats[c] |= {"median": median, "iqr": None if lo is None else hi - lo}
+    known = [c for c in columns if stats[c]["median"] is not None]
+    spread = quantiles(df, [F.abs(F.col(c).cast("double") - F.lit(stats[c]["median"])) for c in known], [0.5], first["rows"]) if known else []
+    for c in columns:
+        stats[c]["mad"] = None
+    for c, (mad,) in zip(known, spread):
+        stats[c]["mad"] = mad
     return stats
 
 

@@ -46,6 +46,15 @@ def auc(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] =
     return out.select(*by, "auc")
 
 
+def midranks(df: DataFrame, pred: str = "pred") -> DataFrame:
+    """df with mid: the mean rank (from 1) of rows of its score; null where the score is null or NaN."""
+    score = F.col(pred).cast("double")
+    known = df.withColumn("__score", F.when(~F.isnan(score), score))
+    ties = known.where("__score is not null").groupBy("__score").agg(F.count(F.lit(1)).alias("n"))
+    upto = running(ties, [], "__score", {"c": "n"}).select("__score", (F.col("c") - (F.col("n") - 1) / 2).alias("mid"))
+    return known.join(upto, "__score", "left").drop("__score")
+
+
 def pr_auc(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] = ()) -> DataFrame:
     """by, pr_auc: area under precision over recall, interpolated between thresholds as counts grow (false positives linear in true ones)."""
     keyed, by_ = _keys(df, list(by))

@@ -37,13 +37,23 @@ def _seeded(seed: int, purpose: str, *parts) -> Column:
     return F.md5(F.concat_ws("|", (F.col("b") + seed).cast("string"), F.lit(purpose), *[F.col(p).cast("string") for p in parts]))
 
 
+def draws(df: DataFrame, id_col: str, label: str, n: int, seed: int = 1, cells: list[str] = ()) -> DataFrame:
+    """(b, cells, i, label): the label that permutation b brings to place i."""
+    slim = df.select(id_col, label, *cells)
+    return hash_ranked(_draws(slim, n), ["b", *cells], _seeded(seed, "perm", id_col), id_col, name="i").select("b", *cells, "i", label)
+
+
+def places(df: DataFrame, id_col: str, cells: list[str] = (), *keep: str) -> DataFrame:
+    """(cells, i, id, keep): the place of each row, by id."""
+    slim, cells = df.select(id_col, *cells, *keep), list(cells)
+    ranked = value_ranked(slim, cells, id_col, name="i") if _is_number(df, id_col) else hash_ranked(slim, cells, F.lpad(F.col(id_col).cast("string"), 24, "0"), id_col, name="i")
+    return ranked.select(*cells, "i", id_col, *keep)
+
+
 def shuffled(df: DataFrame, id_col: str, label: str, n: int, seed: int = 1, cells: list[str] = ()) -> DataFrame:
     """(b, id, label): n permutations of the label, within cells if any are given."""
     cells = list(cells)
-    slim = df.select(id_col, label, *cells)
-    places = hash_ranked(slim, cells, F.lpad(F.col(id_col).cast("string"), 24, "0"), id_col, name="i") if not _is_number(df, id_col) else value_ranked(slim, cells, id_col, name="i")
-    drawn = hash_ranked(_draws(slim, n), ["b", *cells], _seeded(seed, "perm", id_col), id_col, name="i")
-    return drawn.select("b", *cells, "i", label).join(places.select(*cells, "i", id_col), [*cells, "i"]).select("b", id_col, label)
+    return draws(df, id_col, label, n, seed, cells).join(places(df, id_col, cells), [*cells, "i"]).select("b", id_col, label)
 
 
 def _is_number(df: DataFrame, c: str) -> bool:
