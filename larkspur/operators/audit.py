@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -305,6 +306,7 @@ def rank_auc(y: np.ndarray, p: np.ndarray) -> float:
 # -- near duplicates
 
 BLOCK_ROWS = 1024
+PLANES = 3
 
 
 def near_duplicates(df: DataFrame, id_col: str, vector: str, threshold: float = 0.995, method: str = "cosine", space: str = "raw") -> DataFrame:
@@ -312,11 +314,13 @@ def near_duplicates(df: DataFrame, id_col: str, vector: str, threshold: float =
 
     method pearson centres each vector; space rank replaces components by their
     ranks within the column (midranks). Null or non-finite components count as
-    the column's median. Vectors are packed into blocks, and each pair of
-    blocks is one matrix product in a task of bounded memory; pairs of blocks
-    are dealt out evenly. The work grows with the square of the rows: that is
-    the operator. A block pair whose centroids are too far apart for any pair
-    (by the blocks' radii) is skipped.
+    the column's median. Unit vectors of a pair are at most sqrt(2 (1 - threshold))
+    apart, so in every direction as well: rows fall into cells of that width
+    along PLANES fixed directions, only cells that touch are compared, and which
+    blocks meet is settled on a table of blocks before any vector is sent. Each
+    pair of blocks is one matrix product in a task of bounded memory. Where the
+    threshold is low or all rows are alike, the work still grows with the square
+    of the rows: that is the operator.
     """
     if method not in ("cosine", "pearson") or space not in ("raw", "rank"):
         raise InputError("unknown similarity")
@@ -337,40 +341,45 @@ def near_duplicates(df: DataFrame, id_col: str, vector: str, threshold: float =
             ties = running(long.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")), ["k"], "x", {"c": "n"})
             long = long.join(ties.select("k", "x", (F.col("c") - (F.col("n") - 1) / 2).alias("r")), ["k", "x"]).select("id", "k", F.col("r").alias("x"))
         base = long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-    n = base.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    packed = base.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-
-    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        x = x - x.mean(axis=1, keepdims=True) if method == "pearson" else x
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return pdf["id"].to_numpy(), x / np.where(norm > 0, norm, 1.0)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = unit(pdf)
-        centre = x.mean(axis=0)
-        radius = float(np.linalg.norm(x - centre, axis=1).max())
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "ids": [ids.astype(np.int64).tobytes()], "x": [x.tobytes()], "centre": [centre.tobytes()], "radius": [radius]})
-
-    table = packed.groupBy("g").applyInPandas(pack, "g int, ids binary, x binary, centre binary, radius double")
-    # each block goes to the tasks of all its pairs: block g meets h in the task (min, max)
-    sent = table.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"lo": F.least("g", "h"), "hi": F.greatest("g", "h")})
+    width = math.sqrt(max(0.0, 2 * (1 - threshold))) + 1e-6
+    planes = np.linalg.qr(np.random.default_rng(13).normal(size=(d, min(PLANES, d))))[0]
+
+    def unit(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                x = x - x.mean(axis=1, keepdims=True) if method == "pearson" else x
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norm > 0, norm, 1.0)
+                cells = np.floor(x @ planes / width).astype(int)
+                yield pd.DataFrame({"id": pdf["id"], "x": [r.tobytes() for r in x], "cell": list(cells)})
+
+    rows = base.mapInPandas(unit, "id long, x binary, cell array<int>")
+    counts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = rows.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    table = placed.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "x")).alias("rows"))
+    # which blocks meet: each pair of parts of each two cells that touch, once
+    offsets = F.array(*[F.array(*[F.lit(o) for o in step]) for step in itertools.product((-1, 0, 1), repeat=planes.shape[1])])
+    near = counts.select(F.col("cell").alias("lo"), F.col("blocks").alias("nlo"), F.explode(F.transform(offsets, lambda o: F.zip_with("cell", o, lambda a, b: a + b))).alias("hi"))
+    near = near.where(F.col("lo") <= F.col("hi")).join(counts.select(F.col("cell").alias("hi"), F.col("blocks").alias("nhi")), "hi")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = near.withColumn("plo", every("nlo")).withColumn("phi", every("nhi")).where((F.col("lo") < F.col("hi")) | (F.col("plo") <= F.col("phi")))
+    pairs = pairs.select("lo", "plo", "hi", "phi", F.monotonically_increasing_id().alias("pair"))
+    ends = F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("cell"), F.col("plo").alias("part")), F.struct(F.col("hi").alias("cell"), F.col("phi").alias("part"))))).alias("e")
+    from larkspur.operators.splits import checkpointed
+
+    sent = checkpointed(pairs).select("pair", ends).select("pair", "e.cell", "e.part").join(table, ["cell", "part"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf.iloc[0], pdf.iloc[-1]
-        gap = np.linalg.norm(np.frombuffer(a["centre"]) - np.frombuffer(b["centre"])) - a["radius"] - b["radius"]
-        empty = pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "sim": np.empty(0)})
-        if gap > 0 and gap * gap > 2 * (1 - threshold) + 1e-9:  # |a - b|^2 = 2 (1 - cos) of unit vectors
-            return empty
-        (ia, xa), (ib, xb) = ((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, d)) for r in (a, b))
-        s = xa @ xb.T
+        ids = [np.array([r["id"] for r in rows], dtype=np.int64) for rows in pdf["rows"]]
+        x = [np.frombuffer(b"".join(r["x"] for r in rows)).reshape(-1, d) for rows in pdf["rows"]]
+        s = x[0] @ x[-1].T
         r, c = np.nonzero(s >= threshold)
-        i, j, v = ia[r], ib[c], s[r, c]
-        keep = i < j if len(pdf) == 1 else np.ones(len(i), bool)
+        i, j, v = ids[0][r], ids[-1][c], s[r, c]
+        keep = i < j if len(pdf) == 1 else i != j
         return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": v[keep]})
 
-    return sent.groupBy("lo", "hi").applyInPandas(compare, "i long, j long, sim double")
+    return sent.select("pair", "rows").groupBy("pair").applyInPandas(compare, "i long, j long, sim double")
 
 
 def cross_fold(pairs: DataFrame, plan: SplitPlan) -> DataFrame:
