@@ -129,10 +129,11 @@ def cindex(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str
 
     With event (1: observed), truth is a time, and a pair counts if the earlier
     time is an event. A larger prediction means a longer time, unless risk.
-    Counted in Arrow batches by a Fenwick tree over prediction ranks, in order
-    of truth; whole groups of pairs are never formed. Frames without ``by`` are
-    cut into CINDEX_GRID ranges of truth: pairs across ranges come from a
-    smaller histogram join of range pairs.
+    Counted by sorting: for each bit of the rank of truth, rows with it set meet
+    those without it in order of the prediction, so whole groups of pairs are
+    never formed. Frames without ``by`` are cut into CINDEX_GRID ranges of
+    truth: pairs across ranges come from a smaller histogram join of range
+    pairs.
     """
     import numpy as np
     import pyarrow as pa
@@ -145,33 +146,27 @@ def cindex(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str
 
     def count(table: pa.Table) -> pa.Table:
         t, p, e, n = (table.column(c).to_numpy() for c in ("t", "p", "e", "n"))
-        order = np.lexsort((p, t))
+        order = np.argsort(p, kind="stable")
         t, p, e, n = t[order], p[order], e[order], n[order].astype(np.float64)
-        _, rank = np.unique(p, return_inverse=True)
-        tree = np.zeros(rank.max() + 2)
-
-        def upto(k: int) -> float:
-            s = 0.0
-            while k > 0:
-                s += tree[k]
-                k -= k & -k
-            return s
-
-        good = pairs = held = 0.0
-        starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        for a, b in zip(starts, np.append(starts[1:], len(t))):
-            for i in range(a, b):  # against all events with a smaller time
-                below, upto_own = upto(rank[i]), upto(rank[i] + 1)
-                good += n[i] * (below + 0.5 * (upto_own - below))
-                pairs += n[i] * held
-            for i in range(a, b):
-                if e[i] == 1:
-                    k = rank[i] + 1
-                    held += n[i]
-                    while k < len(tree):
-                        tree[k] += n[i]
-                        k += k & -k
-        return pa.table({**{c: table.column(c)[:1] for c in by_}, "good": [good], "pairs": [pairs]})
+        times, t = np.unique(t, return_inverse=True)
+        events = np.where(e == 1, n, 0.0)
+        earlier = np.concatenate(([0.0], np.cumsum(np.bincount(t, events, minlength=len(times)))[:-1]))
+        good = 0.0
+        for bit in range(max(1, int(len(times) - 1).bit_length())):
+            # two times first differ in one bit: rows with it set meet events without it, within the same higher bits
+            part = t >> (bit + 1)
+            by = np.argsort(part, kind="stable")  # within a part in order of p
+            late = (t[by] >> bit & 1).astype(bool)
+            sums = np.concatenate(([0.0], np.cumsum(np.where(late, 0.0, events[by]))))
+            new_part = np.concatenate(([True], part[by][1:] != part[by][:-1]))
+            new = new_part | np.concatenate(([True], p[by][1:] != p[by][:-1]))
+            first = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            start = np.flatnonzero(new_part)[np.cumsum(new_part) - 1]
+            below = sums[first[group]] - sums[start]
+            tied = sums[np.append(first[1:], len(by))[group]] - sums[first[group]]
+            good += float((n[by] * (below + 0.5 * tied))[late].sum())
+        return pa.table({**{c: table.column(c)[:1] for c in by_}, "good": [good], "pairs": [float((n * earlier[t]).sum())]})
 
     from pyspark.sql import types as T
 
