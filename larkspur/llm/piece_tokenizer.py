@@ -8,7 +8,9 @@ non-overlapping occurrences of that pair up to the first merge that creates a
 pair the library would take first, and compacts the arrays, until no pair is
 left. Words are cut only where no piece of the vocabulary can cross: before a
 space mark that follows another symbol, and around characters that no longer
-piece holds.
+piece holds. Words of over LONG symbols (texts without spaces) are cut again
+and again while they are merged, between any two neighbours whose joint text
+lies in no piece, so that a round merges the least pair of each part.
 
 Supported models: BPE, identity normalisation, byte fallback or not. Others
 are refused when the model is loaded.
@@ -31,8 +33,10 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int64).max
 _MISSING = repeat(-1)
 _SLOTS = 1 << 18  # of the hash table of pairs
-HEAP_FROM = 4096  # symbols; longer words are merged with a heap, whose time grows as n log n
-MEMO_LIMIT = 400_000  # distinct words remembered by one Python worker
+LONG = 256  # symbols; longer words are cut between neighbours that no piece holds together
+LONG_RUN = 1 << 20  # symbols of such words merged at once, unless one part is longer
+SLICE = 1 << 20  # bytes of texts encoded at once
+MEMO_LIMIT = 200_000  # distinct words remembered by one Python worker
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -71,15 +75,17 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
 
 
 class _Memo(dict):
-    """Words seen so far, by hash -> index into the arrays of their ids."""
+    """Words seen so far, by hash -> index into the arrays of their ids and second hashes."""
 
     def __init__(self):
         super().__init__()
         self.ids = np.empty(0, dtype=np.uint32)
         self.first = self.count = np.empty(0, dtype=np.int64)
+        self.check = np.empty(0, dtype=np.uint64)
 
-    def add(self, keys: list[int], ids: np.ndarray, count: np.ndarray) -> None:
+    def add(self, keys: list[int], check: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         self.update(zip(keys, range(len(self), len(self) + len(keys))))
+        self.check = np.concatenate((self.check, check))
         self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count))
         self.ids = np.concatenate((self.ids, ids))
@@ -133,6 +139,7 @@ class PieceModel:
         self.surface_size = np.array([len(x) for x in surfaces], dtype=np.int64)
         self.surface_first = np.cumsum(self.surface_size) - self.surface_size
         self.is_control = np.array([p[2] == _CONTROL for p in pieces])
+        self.parts: np.ndarray | None = None  # hashes of all texts of two characters or more within a piece, made for the first long word
         self.memo = _Memo()
 
     def _pairs(self) -> None:
@@ -152,8 +159,8 @@ class PieceModel:
                     keys.append(a * self.width + b)
                     merged.append(i)
                     ranks.append(rank_of[self.pieces[i][1]])
-        self.pairs = dict(zip(keys, zip(ranks, merged)))
-        if len(self.pairs) * 2 > _SLOTS:
+        pairs = dict(zip(keys, zip(ranks, merged)))
+        if len(pairs) * 2 > _SLOTS:
             raise ValueError("more pairs than the table is made for")
         self.slots = np.full(_SLOTS, -2, dtype=np.int64)
         self.slot_rank, self.slot_made = np.zeros(_SLOTS, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
@@ -163,7 +170,7 @@ class PieceModel:
             while self.slots[at] not in (-2, key):
                 at, probe = (at + 1) & (_SLOTS - 1), probe + 1
             self.slots[at] = key
-            self.slot_rank[at], self.slot_made[at] = self.pairs[key]
+            self.slot_rank[at], self.slot_made[at] = pairs[key]
             self.probes = max(self.probes, probe)
         self.symbol_of = np.full(0x110000, -1, dtype=np.int32)
         for ch, i in symbols.items():
@@ -199,21 +206,26 @@ class PieceModel:
         hit = self.slots[at] == ask
         return np.where(hit, self.slot_rank[at], _NONE), np.where(hit, self.slot_made[at], -1)
 
-    def _rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge all words; returns symbols, words and the first character of each symbol."""
+    def _rounds(self, symbols: np.ndarray, word: np.ndarray, text: Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all words; returns symbols and the first character of each. text: of the words, if they are to be cut between rounds."""
         place = np.arange(len(symbols))
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        end = place + 1
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         rank, made = np.full(len(symbols), _NONE), np.full(len(symbols), -1)
         fresh = np.flatnonzero(word[:-1] == word[1:])
         while len(symbols):
             rank[fresh], made[fresh] = self._lookup(symbols[fresh], symbols[np.minimum(fresh + 1, len(symbols) - 1)])
+            if text is not None and len(apart := fresh[~self._together(text, place[fresh], end[np.minimum(fresh + 1, len(symbols) - 1)])]):
+                heads = np.concatenate(([True], word[1:] != word[:-1]))
+                heads[apart + 1] = True
+                word = np.cumsum(heads)
             starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             sizes = np.diff(np.concatenate((starts, [len(symbols)])))
             least = np.minimum.reduceat(rank, starts)
             live = np.repeat(least != _NONE, sizes)
             if not live.all():  # finished words leave the arrays
-                done.append((symbols[~live], word[~live], place[~live]))
-                symbols, word, place, rank, made = (x[live] for x in (symbols, word, place, rank, made))
+                done.append((symbols[~live], place[~live]))
+                symbols, word, place, end, rank, made = (x[live] for x in (symbols, word, place, end, rank, made))
                 if not len(symbols):
                     break
                 least, sizes = least[least != _NONE], sizes[least != _NONE]
@@ -241,52 +253,53 @@ class PieceModel:
             early = (self._lookup(prior, joined)[0] <= least[group]) | (self._lookup(joined, following)[0] <= least[group])
             blocked = np.cumsum(early) - early  # earlier hits, in any word, that stop what comes after
             hits = hits[blocked == blocked[np.maximum.accumulate(np.where(head, np.arange(len(hits)), 0))]]
-            symbols[hits] = made[hits]
+            symbols[hits], end[hits] = made[hits], end[hits + 1]
             keep = np.ones(len(symbols), dtype=bool)
             keep[hits + 1] = False
             stale = np.zeros(len(symbols), dtype=bool)
             stale[hits] = stale[np.maximum(hits - 1, 0)] = True
             stale[np.maximum(hits - 2, 0)] |= ~keep[np.maximum(hits - 1, 0)]  # what stood before was merged away
-            symbols, word, place, rank, made, stale = (x[keep] for x in (symbols, word, place, rank, made, stale))
+            symbols, word, place, end, rank, made, stale = (x[keep] for x in (symbols, word, place, end, rank, made, stale))
             rank[stale], made[stale] = _NONE, -1
             fresh = np.flatnonzero(stale[:-1] & (word[:-1] == word[1:]))
         if not done:
-            return symbols, word, place
-        symbols, word, place = (np.concatenate(x) for x in zip(*done))
+            return symbols, place
+        symbols, place = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(place, kind="stable")
-        return symbols[order], word[order], place[order]
-
-    def _heap(self, symbols: list[int]) -> list[int]:
-        """One long word, pair by pair: the exact way where rounds would be too many. Returns the places where symbols begin."""
-        import heapq
-
-        pairs, width = self.pairs, self.width
-        n = len(symbols)
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = following[i]
-            if j < n and symbols[i] >= 0 <= symbols[j] and (hit := pairs.get(symbols[i] * width + symbols[j])):
-                heapq.heappush(heap, (hit[0], i, symbols[i], symbols[j]))
-
-        for i in range(n - 1):
-            push(i)
-        gone = bytearray(n)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = following[i]
-            if gone[i] or j >= n or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i] = pairs[a * width + b][1]
-            gone[j] = 1
-            following[i] = following[j]
-            if following[j] < n:
-                before[following[j]] = i
-            if before[i] >= 0:
-                push(before[i])
-            push(i)
-        return [i for i in range(n) if not gone[i]]
+        return symbols[order], place[order]
+
+    def _together(self, text: Spans, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether some piece holds each span of characters. (A hash that is there by chance only leaves a word uncut.)"""
+        if self.parts is None:
+            sizes = np.array([len(t) for t, _, kind in self.pieces if kind == _NORMAL], dtype=np.int64)
+            all_text = Spans(np.frombuffer("".join(t for t, _, kind in self.pieces if kind == _NORMAL).encode("utf-32-le"), dtype=np.uint8), lower=False)
+            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))  # characters up to the piece's end
+            at = [np.flatnonzero(left >= k) for k in range(2, int(sizes.max(initial=2)) + 1)]
+            self.parts = np.unique(np.concatenate([all_text(4 * a, 4 * (a + k)) for k, a in enumerate(at, 2)]))
+            self.longest = int(sizes.max(initial=2))
+        out = end - start <= self.longest
+        asked = text(4 * start[out], 4 * end[out])
+        out[out] = self.parts[np.minimum(np.searchsorted(self.parts, asked), len(self.parts) - 1)] == asked
+        return out
+
+    def _long_words(self, flat: np.ndarray, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_rounds() of long words, cut first where no piece holds two characters together."""
+        text = Spans(flat.view(np.uint8), lower=False)
+        within = np.flatnonzero(word[1:] == word[:-1])
+        heads = np.ones(len(symbols), dtype=bool)
+        heads[within[self._together(text, within, within + 2)] + 1] = False
+        starts, out, at = np.flatnonzero(heads), [], 0
+        part = np.cumsum(heads)
+        while at < len(symbols):
+            k = int(np.searchsorted(starts, at + LONG_RUN, side="right")) - 1
+            to = int(starts[k]) if starts[k] > at else int(np.append(starts, len(symbols))[k + 1])
+            if at + LONG_RUN >= len(symbols):
+                to = len(symbols)
+            made, place = self._rounds(symbols[at:to], part[at:to], Spans(flat[at:to].view(np.uint8), lower=False))
+            out.append((made, place + at))
+            at = to
+        made, place = (np.concatenate(x) for x in zip(*out))
+        return made, place
 
     def _emit(self, ch: str) -> list[int]:
         """Ids of a character that is no piece."""
@@ -297,22 +310,19 @@ class PieceModel:
         known = len(self.pieces)
         symbols = self.symbol_of[flat].astype(np.int64)
         word = np.repeat(np.arange(len(sizes)), sizes)
-        long = np.flatnonzero(sizes > HEAP_FROM)
-        if len(long):
-            is_long = np.zeros(len(sizes), dtype=bool)
-            is_long[long] = True
-            rest = np.flatnonzero(~is_long[word])
-            parts = [(s, w, rest[at]) for s, w, at in [self._rounds(symbols[rest], word[rest])]]
-            begins = np.concatenate(([0], np.cumsum(sizes)))
-            for i in long.tolist():
-                own = symbols[begins[i] : begins[i + 1]].tolist()
-                at = np.array(self._heap(own), dtype=np.int64)
-                parts.append((np.array(own, dtype=np.int64)[at], np.full(len(at), i), at + begins[i]))
-            symbols, word, place = (np.concatenate(x) for x in zip(*parts))
+        long = (sizes > LONG)[word]
+        if long.any():
+            parts = []
+            for which, merge in ((np.flatnonzero(~long), self._rounds), (np.flatnonzero(long), lambda s, w: self._long_words(flat[long], s, w))):
+                if len(which):
+                    made, at = merge(symbols[which], word[which])
+                    parts.append((made, which[at]))
+            symbols, place = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(place, kind="stable")
-            symbols, word, place = symbols[order], word[order], place[order]
+            symbols, place = symbols[order], place[order]
         else:
-            symbols, word, place = self._rounds(symbols, word)
+            symbols, place = self._rounds(symbols, word)
+        word = word[place]
         odd = np.flatnonzero((symbols < 0) | (symbols >= known))
         if len(odd):
             emitted = [self._emit(chr(flat[place[i]])) for i in odd.tolist()]
@@ -327,7 +337,7 @@ class PieceModel:
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, with the begin and end ids; a null is an empty text."""
         begin, end = (np.array([] if i is None else [i], dtype=np.uint32) for i in (self.begin, self.end))
-        for _, _, data, offsets in text_slices(self._marked(texts)):
+        for _, _, data, offsets in text_slices(self._marked(texts), SLICE):
             ids, cut = self._slice(data, offsets)
             for a, b in zip(cut[:-1], cut[1:]):
                 yield np.concatenate([begin, ids[a:b], end])
@@ -352,12 +362,17 @@ class PieceModel:
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(begins)
         stop = np.append(start[1:], len(data))
-        keys, where, inverse = np.unique(Spans(data, lower=False)(start, stop), return_index=True, return_inverse=True)
-        memo = self.memo
-        if len(memo) > MEMO_LIMIT:
-            self.memo = memo = _Memo()
-        listed = keys.tolist()
+        key, check = Spans(data, lower=False).both(start, stop)
+        _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.memo) > MEMO_LIMIT:
+            self.memo = _Memo()
+        memo, listed = self.memo, key[where].tolist()
         index = np.fromiter(map(memo.get, listed, _MISSING), dtype=np.int64, count=len(listed))
+        known = index >= 0
+        if (check[where][inverse] != check).any() or (memo.check[index[known]] != check[where[known]]).any():
+            # different words of one hash: both hashes tell them apart, and none is remembered
+            _, where, inverse = np.unique(np.stack((key, check), axis=1), axis=0, return_index=True, return_inverse=True)
+            memo, listed, index, inverse = _Memo(), list(range(len(where))), np.full(len(where), -1), inverse.reshape(-1)
         new = np.flatnonzero(index < 0)
         if len(new):
             a, b = start[where[new]], stop[where[new]]
@@ -369,7 +384,7 @@ class PieceModel:
             heads = np.concatenate(([0], np.cumsum((flat & 0xC0) != 0x80)))
             bounds = heads[np.concatenate(([0], ends))]
             base = len(memo)
-            memo.add([listed[i] for i in new.tolist()], *self._learn(points, np.diff(bounds)))
+            memo.add([listed[i] for i in new.tolist()], check[where[new]], *self._learn(points, np.diff(bounds)))
             index[new] = base + np.arange(len(new))
         index = index[inverse]
         n = memo.count[index]

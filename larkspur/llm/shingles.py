@@ -1,14 +1,16 @@
 """Vectorised hashing of words and shingles over Arrow string buffers.
 
 Nothing here makes a Python object per word: the UTF-8 bytes of a column are
-one numpy buffer, a running polynomial gives the hash of any span as the
-difference of two entries, and words are found with a byte table.
+one numpy buffer, and words are found with a byte table. A span is hashed by
+its blocks of eight bytes: each is mixed with a key of its place by a bijection
+of 64-bit values, and the mixed blocks are summed. (A polynomial in the bytes
+would be cheaper for long spans, but modulo 2**64 it has short collisions.)
 
 Words are the maximal runs of bytes outside ``\\x20\\x09-\\x0D`` with A-Z
 lower-cased. A shingle is five consecutive words; a shorter, non-empty
-sequence is one shingle of its own. Words and shingles are compared by 64-bit
-hashes: two different shingles of one pair of documents collide with a
-probability below 2**-40 even for texts of thousands of words.
+sequence is one shingle of its own. Shingles are compared by 64-bit hashes
+within a pair of documents. Where equal hashes merge rows of a whole corpus,
+callers take ``both()``: two hashes of independent keys, 128 bits.
 """
 
 from __future__ import annotations
@@ -19,10 +21,8 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_ODD = [0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25]
-SLICE_BYTES = 1 << 20  # text bytes hashed at once; one longer text is a slice of its own
+_ODD = [0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
+SLICE_BYTES = 1 << 18  # text bytes hashed at once; one longer text is a slice of its own
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,47 +35,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_table(lower: bool) -> np.ndarray:
-    codes = np.arange(256, dtype=np.uint64)
-    if lower:
-        codes[65:91] += _U(32)
-    return mix(codes + _U(0x51_7CC1_B727_220A))
-
-
-_LOWER, _RAW = _byte_table(True), _byte_table(False)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = np.empty(size, dtype=np.uint64)
-        out[0], filled, step = 1, 1, base
-        while filled < size:  # doubling: out[i + filled] = out[i] * base**filled
-            k = min(filled, size - filled)
-            out[filled : filled + k] = out[:k] * _U(step)
-            filled, step = filled + k, step * step % (1 << 64)
-        if n > SLICE_BYTES + 1:
-            return out  # a very long text: its table isn't kept
-        have = _powers[base] = out
-    return have[:n]
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # the first k bytes of a block
 
 
 class Spans:
     """Hashes of arbitrary spans of a byte buffer."""
 
     def __init__(self, data: np.ndarray, lower: bool = True):
-        n = len(data)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_LOWER if lower else _RAW)[data] * _powers_of(_BASE, n), out=self.sums[1:])
-        self.back = _powers_of(_INVERSE, n + 1)
+        own = np.empty(len(data) + 8, dtype=np.uint8)
+        own[: len(data)], own[len(data) :] = _FOLD[data] if lower else data, 0
+        self.blocks = np.ndarray((len(data) + 1,), "<u8", own, strides=(1,)).copy()  # the eight bytes from each place
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(h + (end - start).astype(np.uint64) * _U(_ODD[0]))
+        return self._hash(*self._parts(start, end), 0)
+
+    def of_eight(self, start: np.ndarray) -> np.ndarray:
+        """Of the eight bytes from each place on: the same as self(start, start + 8)."""
+        return mix(self.blocks[start] ^ _U(8 * _ODD[0] % (1 << 64)))
+
+    def both(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each span."""
+        parts = self._parts(start, end)
+        return self._hash(*parts, 1), self._hash(*parts, 2)
+
+    def _parts(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sizes, first blocks, which spans have more, where those of each begin, and the others' blocks and places."""
+        size = end - start
+        head = self.blocks[start] & _HEAD[np.minimum(size, 8)]
+        long = np.flatnonzero(size > 8)
+        more = (size[long] - 1) // 8
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        rest = self.blocks[np.repeat(start[long], more) + 8 * place] & _HEAD[np.minimum(np.repeat(size[long], more) - 8 * place, 8)]
+        return size, head, long, first, rest, place
+
+    @staticmethod
+    def _hash(size: np.ndarray, head: np.ndarray, long: np.ndarray, first: np.ndarray, rest: np.ndarray, place: np.ndarray, key: int) -> np.ndarray:
+        key = key * 0x9E3779B97F4A7C15 % (1 << 64)
+        h = mix(head ^ (size.astype(np.uint64) * _U(_ODD[0]) + _U(key)))
+        if len(long):
+            h[long] = mix(h[long] + np.add.reduceat(mix(rest ^ mix(place.astype(np.uint64) * _U(_ODD[1]) + _U(key))), first))
+        return h
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

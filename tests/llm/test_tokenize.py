@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from larkspur.llm import tokenize
-from larkspur.llm.piece_tokenizer import HEAP_FROM, PieceModel
+from larkspur.llm.piece_tokenizer import LONG, PieceModel
 from larkspur.llm.queries import piece_model_path
 
 spm = pytest.importorskip("sentencepiece")
@@ -22,7 +22,7 @@ def model():
 
 CASES = [
     "", " ", "  ", "a", " a", "a ", "    b   c      d", "\n\n x\n", "▁a ▁", "日本語テキスト", "😀😀 emoji", "a" * 26, "the" * 50, "\t\tint x;\r\n", " " * 37 + "x", "\x00abc", "é́ñ",
-    "<s> </s> <0x0A> <unk>", "ha" * 300, "=-" * 33 + "-----------=====", "x" * (HEAP_FROM + 500), " " * (HEAP_FROM + 100), "word " * 30_000, None,
+    "<s> </s> <0x0A> <unk>", "ha" * 300, "=-" * 33 + "-----------=====", "x" * (LONG + 500), " " * (LONG + 100), "word " * 30_000, None,
 ]
 
 
@@ -35,11 +35,45 @@ def test_same_ids_and_texts_as_the_library(model, library):
         assert model.decode(ids) == library.decode(expected)
 
 
-def test_long_words_by_rounds_and_by_heap_agree(model, library):
-    word = "abcab" * 200
-    symbols = [int(model.symbol_of[ord(c)]) for c in "▁" + word]
-    places = model._heap(symbols)
-    assert [symbols[i] for i in places] == library.encode(word)
+def test_long_words(model, library, monkeypatch):
+    import larkspur.llm.piece_tokenizer as pt
+
+    rnd = random.Random(3)
+    english = "".join(rnd.choice(["the", "quick", "brown", "fox", "jumped", "over", "international", "ization", "s", "é", "日本"]) for _ in range(1500))
+    words = ["abcab" * 2000, english, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)), "".join(rnd.choice("acgt") for _ in range(6000)), "=-" * 5000, "x" * 9001]
+    for run in (pt.LONG_RUN, 700):
+        monkeypatch.setattr(pt, "LONG_RUN", run)
+        model.memo.clear()
+        model.memo.__init__()
+        for word, ids in zip(words, model.encode(pa.array(words))):
+            assert ids.tolist() == library.encode(word, add_bos=True, add_eos=True)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    a, b = "A", "B"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_a_polynomial_hash_confuses(model, library):
+    texts = [*thue_morse(1024), *thue_morse(4096)]
+    for text, ids in zip(texts, model.encode(pa.array(texts))):
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_words_of_equal_hashes(library, monkeypatch):
+    import larkspur.llm.piece_tokenizer as pt
+
+    class Weak(pt.Spans):
+        def both(self, start, end):
+            h, check = super().both(start, end)
+            return h % 5, check
+
+    monkeypatch.setattr(pt, "Spans", Weak)
+    own = PieceModel(tokenize.read_model(piece_model_path()))
+    for text in ("one two three four five", "six", "two six seven eight one", "six"):
+        assert next(own.encode(pa.array([text]))).tolist() == library.encode(text, add_bos=True, add_eos=True)
 
 
 def test_memo_of_bounded_size(model, library, monkeypatch):
