@@ -1,8 +1,8 @@
 """From signatures to connected components, without all pairs of a group.
 
 Items (distinct texts, not copies) are indexed by signatures; only items that
-share one can be linked. Large groups of alike items share many signatures, so
-pairs are made in three steps:
+share one can be linked. A group of two is a pair. Large groups of alike items
+share many signatures, so their pairs are made in three steps:
 
 1. Each group of a signature gives a star: its leader with each other member.
    The leader is the member whose signatures have the largest groups, the
@@ -20,7 +20,8 @@ pairs are made in three steps:
 Components come from union-finds in every partition and then, up to EDGES edges
 in all, from one in a single task of bounded memory; beyond, from rounds of
 joins (every edge points to the smallest neighbour of its larger end, then of
-its smaller end) over written tables. Nothing is collected to the driver.
+its smaller end) over written tables. Nothing is collected to the driver. All
+tables are written to the caller's Scratch folder.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import written
+from larkspur.llm.storage import Scratch, few
 
 BLOCK = 2048
-STAR_ROUNDS = 3  # after the first
+STAR_ROUNDS = 2  # after the first
 EDGES = 1_000_000  # that one task merges at most: 16 MB, some 200 MB of Python objects
 SHARE = 50_000  # rows of small groups that one call compares, about
-FACTS = 65_536  # items whose sizes and sketches are broadcast at most: under 20 MB
+FACT_BYTES = 512  # of an item's size and sketch where they are broadcast
 _PAIR = "a long, b long"
 
 
@@ -73,18 +74,18 @@ def _union_find(edges: DataFrame, whole: bool) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, _PAIR)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(item, root): every end of an edge with the smallest item it is connected to. edges: a written table of a, b, never null."""
+def components(edges: DataFrame, n: int, at: Scratch, rounds: int = 60) -> DataFrame:
+    """(item, root): every end of n edges with the smallest item it is connected to. edges: a, b, never null."""
     forest = _union_find(edges.where("a != b"), False)
-    if edges.count() <= EDGES:
+    if n <= EDGES:
         e = _union_find(forest.repartition(1), True)
     else:
-        e = _rounds(written(forest.distinct(), "edges"), rounds)
+        e = _rounds(at.write_few(forest.distinct(), "edges"), at, rounds)
     ends = F.explode(F.array(F.struct(F.col("b").alias("item"), F.col("a").alias("root")), F.struct(F.col("a").alias("item"), F.col("a").alias("root"))))
     return e.select(ends.alias("e")).select("e.*").distinct()
 
 
-def _rounds(e: DataFrame, rounds: int) -> DataFrame:
+def _rounds(e: DataFrame, at: Scratch, rounds: int) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -94,7 +95,7 @@ def _rounds(e: DataFrame, rounds: int) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u")
         nxt = small.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a != b").distinct()
-        e = written(nxt, "edges")
+        e = at.write_few(nxt, "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return e
@@ -102,23 +103,24 @@ def _rounds(e: DataFrame, rounds: int) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def grouped(members: DataFrame) -> DataFrame:
-    """sig, item, n: members of groups of two or more, with the group's size. members: sig, item, distinct."""
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(sizes, "sig").select("sig", "item", "n")
+def grouped(members: DataFrame, at: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs, groups): a, b of the groups of two; sig, item, n of larger ones. members: a written table of sig, item, distinct."""
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("a"), F.max("item").alias("b")).where("n > 1")
+    sizes = at.write_few(sizes, "sizes")
+    large = few(at.write_few(sizes.where("n > 2").select("sig", "n"), "large"), 32)
+    return sizes.where("n = 2").select("a", "b"), members.join(large, "sig").select("sig", "item", "n")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: the leader of each signature's group with the others. members: sig, item, n.
+def star_pairs(members: DataFrame, at: Scratch) -> DataFrame:
+    """(a, b), a < b: the leader of each signature's group with the others. members: sig, item, n.
 
     Items are ranked by one long, the weight above 40 bits of hash, so that the
     leaders are found by hash aggregation; two items of one rank may stand for
     each other, and what that leaves out the later steps find.
     """
     rank = F.shiftleft(F.least(F.sum("n"), F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("item"), 24))
-    ranks = written(members.groupBy("item").agg(rank.alias("rank")), "ranks")
-    few = F.broadcast(ranks) if ranks.count() <= EDGES else ranks
-    ranked = members.select("sig", "item").join(few, "item")
+    ranks = at.write_few(members.groupBy("item").agg(rank.alias("rank")), "ranks")
+    ranked = members.select("sig", "item").join(few(ranks, 32), "item")
     lead = ranked.groupBy("sig").agg(F.max("rank").alias("top"))
     pairs = ranked.join(lead, "sig").where("rank != top").select("item", "top").distinct()
     leaders = ranks.groupBy(F.col("rank").alias("top")).agg(F.min("item").alias("lead"))
@@ -131,8 +133,7 @@ def _distinct_pairs(rows: DataFrame) -> DataFrame:
 
 def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     """sig, item, n, root: the members of groups of several components. members: sig, item, n; roots: a written table."""
-    few = F.broadcast(roots) if roots.count() <= EDGES else roots
-    labelled = members.select("sig", "item", "n").join(few, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    labelled = members.select("sig", "item", "n").join(few(roots, 32), "item", "left").withColumn("root", F.coalesce("root", "item"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
     return labelled.join(mixed, "sig").select("sig", "item", "n", "root")
 
@@ -157,7 +158,8 @@ def cross_pairs(mixed: DataFrame, facts: DataFrame, tolerance: float) -> DataFra
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     # many groups are small: each task takes a share of them at once
-    shares = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), mixed.count() // SHARE)
+    rows = mixed.agg(F.sum(blocks)).first()[0] or 0
+    shares = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // SHARE)
     dealt = dealt.select(F.pmod(F.xxhash64("sig", lo, hi), F.lit(shares)).alias("share"), "sig", lo.alias("lo"), hi.alias("hi"), "own", "item", "root", "size", "sketch")
 
     def run(rows: pa.Table) -> pa.Table:
@@ -191,19 +193,23 @@ def cross_pairs(mixed: DataFrame, facts: DataFrame, tolerance: float) -> DataFra
     return dealt.groupBy("share").applyInArrow(run, _PAIR).distinct()
 
 
-def linked_components(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], tolerance: float) -> DataFrame:
-    """(item, root) of all items with a link. members: a written table of grouped(). verify: pairs (a, b) -> those that are links."""
-    roots = written(components(written(verify(star_pairs(members)), "links")), "roots")
+def linked_components(pairs: DataFrame, members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], tolerance: float, at: Scratch) -> DataFrame:
+    """(item, root) of all items with a link. pairs, members: of grouped(), members written. verify: pairs (a, b) -> those that are links."""
+    first = pairs.unionAll(star_pairs(members, at)).distinct()
+    found = at.write_few(verify(first), "links")
+    n = found.count()
+    roots = at.write_few(components(found, n, at), "roots", 2 * n)
     mixed = members
     for salt in range(STAR_ROUNDS + 1):
-        mixed = written(mixed_members(mixed, roots), "mixed")
+        mixed = at.write_few(mixed_members(mixed, roots), "mixed")
         if not mixed.limit(1).count():
             break
-        pairs = bridge_pairs(mixed, salt) if salt < STAR_ROUNDS else cross_pairs(mixed, facts, tolerance)
-        more = written(verify(pairs), "links")
-        if more.limit(1).count():
+        more = bridge_pairs(mixed, salt) if salt < STAR_ROUNDS else cross_pairs(mixed, facts, tolerance)
+        more = at.write_few(verify(more), "links")
+        if k := more.count():
+            n = k + roots.count()
             edges = roots.select(F.col("root").alias("a"), F.col("item").alias("b")).unionAll(more)
-            roots = written(components(edges), "roots")
+            roots = at.write_few(components(edges, n, at), "roots", 2 * n)
     return roots
 
 
@@ -211,7 +217,7 @@ def plausible(pairs: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame
     """Pairs (a, b) that sizes and sketches don't rule out."""
     a = facts.select(F.col("item").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     b = facts.select(F.col("item").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
-    if facts.count() <= FACTS:
+    if few(facts, FACT_BYTES) is not facts:
         a, b = F.broadcast(a), F.broadcast(b)
     sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.lit(tolerance) * F.greatest("na", "nb") - 1e-9)
 

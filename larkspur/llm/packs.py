@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+
+from larkspur.llm.storage import FILE_BYTES, estimated_bytes
 
 
 def pack48(keys: np.ndarray) -> bytes:
@@ -21,3 +24,8 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of sorted 48-bit keys begins, and the end."""
     edges = np.searchsorted(keys, np.array([(b << 48) // buckets for b in range(buckets)], dtype=np.uint64))
     return np.append(edges, len(keys))
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Value ranges for the keys of df's texts: one for each shuffle partition, or more where a group would take too much memory."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (estimated_bytes(df) or 0) // FILE_BYTES)
