@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.frames import map_batches, struct
 from larkspur.llm.shingles import Spans, mix, text_slices, words_of
+from larkspur.llm.storage import sized
 
 BITS = 18
 SAMPLE = 4_000  # labelled rows the model is fit on at most
@@ -45,11 +46,11 @@ _CHAR_BITS = 16  # character n-grams take the first 2**16 places, the abstract o
 def _presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(texts, text of each feature, feature): distinct features of slices of texts, by text."""
     small, rest = np.uint64((1 << _CHAR_BITS) - 1), np.uint64((1 << BITS) - (1 << _CHAR_BITS) - (1 << 12))
-    for _, _, data, offsets in text_slices(column, 1 << 19):
+    for _, _, data, offsets in text_slices(column, 1 << 17):
         n = len(offsets) - 1
         sizes = np.diff(offsets)
         text = np.repeat(np.arange(n, dtype=np.int64), sizes)
-        seen = np.zeros((n, 1 << _CHAR_BITS), dtype=bool) if n * (1 << _CHAR_BITS) <= 1 << 26 else None
+        seen = np.zeros((n, 1 << _CHAR_BITS), dtype=bool) if n * (1 << _CHAR_BITS) <= 1 << 24 else None
         keys = []
         code, left = np.zeros(len(data), dtype=np.uint64), np.repeat(offsets[1:], sizes) - np.arange(len(data))
         for k in (1, 2, 3):
@@ -232,4 +233,4 @@ def keep_good(df: DataFrame, model: Model, threshold: float, text: str = "text")
         kept = batch.filter(pa.array(model.scores(batch.column(text)) >= threshold))
         return {c: kept.column(c) for c in names}
 
-    return map_batches(df, run, df.schema)
+    return sized(map_batches(df, run, df.schema), df)

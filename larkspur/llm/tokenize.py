@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.frames import map_batches, sha256, struct
 from larkspur.llm.piece_tokenizer import PieceModel, check_model
+from larkspur.llm.storage import sized
 
 _models: dict[str, PieceModel] = {}
 
@@ -78,4 +79,4 @@ def round_trip_digests(df: DataFrame, model_path: str, text: str = "text", keep:
         return {c: batch.column(c) for c in keep} | {"n_tokens": n, "ids_sha256": digest, "decoded_sha256": decoded}
 
     more = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    return map_batches(df.select(*keep, text), run, struct(df, list(keep), **more))
+    return sized(map_batches(df.select(*keep, text), run, struct(df, list(keep), **more)), df)
