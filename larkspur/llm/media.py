@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import mpeg_audio
 from larkspur.llm.frames import map_batches, sha256, struct, utf8
-from larkspur.llm.storage import written
+from larkspur.llm.storage import sized, written
 
 
 def store(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -27,7 +27,7 @@ def store(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> D
         media = [mpeg_audio.write(mpeg_audio.padded(t), len(t)) for t in utf8(batch.column(text))]
         return {c: batch.column(c) for c in keep} | {"media": media}
 
-    return written(map_batches(df.select(*keep, text), run, struct(df, list(keep), media=T.BinaryType())), "media")
+    return written(sized(map_batches(df.select(*keep, text), run, struct(df, list(keep), media=T.BinaryType())), df), "media")
 
 
 def features(df: DataFrame, media: str = "media", keep: list[str] = ("doc_id",)) -> DataFrame:

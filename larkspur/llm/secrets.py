@@ -3,10 +3,12 @@
 Candidates are the base kinds (assign, access, hex) and long high-entropy
 tokens outside them. Each candidate's value is hashed; over the whole corpus
 the distinct repositories and owners of each hash are counted. A value that
-COPIED_OWNERS owners or more hold is a copied example; one that a single owner
-holds and whose characters look random is a live-looking credential of that
-owner; what lies between is shared. High-entropy tokens become spans of kind
-``owned`` where they are live-looking; base spans stay in any case.
+COPIED_OWNERS owners or more hold, or COPIED_REPOSITORIES repositories or more
+(a template that one owner copies about), is a copied example; one that a
+single owner holds in fewer repositories and whose characters look random is a
+live-looking credential of that owner; what lies between is shared.
+High-entropy tokens become spans of kind ``owned`` where they are live-looking;
+base spans stay in any case.
 
 Values leave the scan as hashes only. Defined results: a null text is an empty
 one; spans count code points; a null owner or repository counts as one of its
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.frames import map_batches, sha256, utf8
-from larkspur.llm.storage import written
+from larkspur.llm.storage import few, gathered, sized, written
 
 KINDS = ("assign", "access", "hex", "owned")
 LEAST = {"assign": 6, "access": 20, "hex": 24, "owned": 28}
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 4
 LIVE_ENTROPY = 3.0  # bits a character
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -136,13 +139,14 @@ def scan(df: DataFrame, owner: str | Column = "owner", repository: str | Column
     live-looking and of one owner, and widely copied examples.
     """
     owner, repository = (F.col(c) if isinstance(c, str) else c for c in (owner, repository))
-    rows = written(scan_texts(df, owner, repository, key, text).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    rows = written(sized(scan_texts(df, owner, repository, key, text), df).withColumn("row", F.monotonically_increasing_id()), "secrets")
     found = rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    classes = ownership(found)
-    live = (F.col("n_owners") == 1) & F.col("live")
+    classes = few(written(gathered(ownership(found)), "secret-owners"), 96)
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
+    live = (F.col("n_owners") == 1) & F.col("live") & ~copied
     shown = F.when((F.col("kind") < 3) | live, F.struct("start", "kind", "end"))
     told = found.drop("owner", "repository").join(classes, "value").groupBy("row").agg(
-        F.array_sort(F.collect_list(shown)).alias("shown"), F.count_if(live).alias("n_live"), F.count_if(F.col("n_owners") >= COPIED_OWNERS).alias("n_copied")
+        F.array_sort(F.collect_list(shown)).alias("shown"), F.count_if(live).alias("n_live"), F.count_if(copied).alias("n_copied")
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("shown", lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")

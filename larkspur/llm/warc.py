@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.frames import BATCH_ROWS, map_batches
-from larkspur.llm.storage import new_path, written
+from larkspur.llm.storage import few, gathered, new_path, written
 from larkspur.llm.zip_archive import FileSource, ZipArchive, write_stored
 
 ARCHIVE_BYTES = 16 << 20  # of payloads
@@ -48,9 +48,11 @@ def record_types(df: DataFrame, key: str = "page_id", payload: str = "html", url
     rows = df.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), raw.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     shared = F.col("payload_bytes") >= LEAST_SHARED
     first = rows.where(shared).groupBy("payload_digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
-    again = F.coalesce(shared & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False))
-    return joined.select("key", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(again, F.col("first")).alias("refers_to"))
+    # payloads are large: they are shuffled only where the digests of repeated ones are too many to broadcast
+    joined = rows.where(shared).join(few(written(gathered(first), "warc-repeated"), 256), "payload_digest", "left")
+    again = F.coalesce(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False))
+    joined = joined.select("key", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(again, F.col("first")).alias("refers_to"))
+    return joined.unionByName(rows.where(~shared).withColumn("refers_to", F.lit(None).cast(df.schema[key].dataType)))
 
 
 def _line(value) -> str:
