@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.storage import written
+from larkspur.llm.storage import Scratch, written
 
 SAMPLE = 8192
 BOOKS = 8
@@ -38,7 +39,9 @@ BEAM = 4
 ROUNDS = 3
 MARGIN = 4.0
 HELD_OUT = 8  # one of so many sample rows isn't fit on, and measures the error
-QUERY_BLOCK = 1024  # queries in a block, on average
+PACK_QUERIES = 1024
+PACK_ROWS = 8192  # of the index
+GROUP_BYTES = 32 << 20  # of queries that a pass broadcasts
 ROWS = 4096  # encoded or scored at once
 
 
@@ -122,29 +125,27 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The nearest rows of a block of queries, fed with chunks of the index."""
-
-    def __init__(self, quantizer: Quantizer, ids: np.ndarray, queries: np.ndarray, nearest: int, margin: float = MARGIN):
-        self.ids, self.queries, self.nearest = ids, queries, nearest
-        self.tables = queries.astype(np.float32) @ quantizer.flat.T
-        self.squares = (queries.astype(np.float64) ** 2).sum(axis=1)
-        self.margin = margin * quantizer.error * np.sqrt(self.squares) + 1e-6 * (1 + self.squares)
-        self.base = np.arange(len(quantizer.books)) * quantizer.books.shape[1]
+    """The nearest rows of a pack of queries, fed with chunks of the index."""
+
+    def __init__(self, ids: np.ndarray, nearest: int):
+        self.ids, self.nearest = ids, nearest
         self.bound = np.full(len(ids), np.inf)
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
 
-    def feed(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
-        at = codes.astype(np.int64) + self.base
+    def feed(self, quantizer: Quantizer, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, margin: float = MARGIN) -> None:
+        tables = queries.astype(np.float32) @ quantizer.flat.T
+        squares = (queries.astype(np.float64) ** 2).sum(axis=1)
+        margins = margin * quantizer.error * np.sqrt(squares) + 1e-6 * (1 + squares)
+        at = codes.astype(np.int64) + np.arange(len(quantizer.books)) * quantizer.books.shape[1]
         for i, own in enumerate(self.ids):
-            table = self.tables[i]
-            score = norms - 2 * table[at].sum(axis=1)  # the squared distance, less the query's square
-            limit = self.bound[i] ** 2 - self.squares[i]
+            score = norms - 2 * tables[i][at].sum(axis=1)  # the squared distance, less the query's square
+            limit = self.bound[i] ** 2 - squares[i]
             if len(score) > self.nearest + 1:
                 limit = min(limit, float(np.partition(score, self.nearest + 1)[self.nearest + 1]))
-            near = np.flatnonzero((score <= limit + self.margin[i]) & (ids != own))
+            near = np.flatnonzero((score <= limit + margins[i]) & (ids != own))
             if not len(near):
                 continue
-            d, who = np.concatenate((self.best[i][0], distances(self.queries[i], x[near]))), np.concatenate((self.best[i][1], ids[near]))
+            d, who = np.concatenate((self.best[i][0], distances(queries[i], x[near]))), np.concatenate((self.best[i][1], ids[near]))
             order = np.lexsort((who, d))
             _, first = np.unique(who[order], return_index=True)  # a repeated id once
             order = order[np.sort(first)][: self.nearest]
@@ -190,40 +191,72 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """pack, ids, x, codes, norms: runs of rows of an index as binary columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
+                vectors = np.ascontiguousarray(batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                yield pa.RecordBatch.from_pydict({
+                    "pack": [task + k], "ids": [batch.column("key").to_numpy().astype(np.int64).tobytes()], "x": [vectors.tobytes()],
+                    "codes": [b"".join(batch.column("codes").to_pylist())], "norms": [batch.column("norm").to_numpy().tobytes()],
+                })
+                k += 1
+
+    return df.select("key", "x", "codes", "norm").mapInArrow(run, "pack long, ids binary, x binary, codes binary, norms binary")
+
+
 def search(df: DataFrame, queries: Column, nearest: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of each row that queries picks (an expression on key)."""
     spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     built = build(df, key, vector)
     if built is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, quantizer = built
-    asked = written(index.withColumnRenamed("key", key).where(queries).groupBy(F.col(key).alias("key")).agg(F.min("x").alias("x")), "additive-queries")
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    found = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        if block.num_rows:
-            part = _search_block(index, quantizer, block, nearest)
-            found = part if found is None else found.unionAll(part)
-    if found is None:
-        return empty
+    d = quantizer.books.shape[2]
+    found = []
+    with Scratch(spark) as at:
+        asked = index.withColumnRenamed("key", key).where(queries).groupBy(F.col(key).alias("key")).agg(F.min("x").alias("x"))
+        n = asked.count()
+        passes = -(-n * (8 * d + 16) // GROUP_BYTES)
+        dealt = asked.withColumn("pass", F.pmod(F.xxhash64("key"), F.lit(max(1, passes))))
+        no_codes = [F.lit(b"").alias("codes"), F.lit(0.0).alias("norm")]
+        for p in range(passes):
+            own = dealt.where(F.col("pass") == p).select("key", "x", *no_codes)
+            blocks = at.write(_packed(own.repartition(-(-n // passes // PACK_QUERIES // 4) or 1), PACK_QUERIES), "queries")
+            best = _pass(_packed(index, PACK_ROWS), blocks, quantizer, nearest)
+            found.append(at.write(_ranked(best, nearest), "found"))
+        rows = found[0] if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for more in found[1:]:
+            rows = rows.unionAll(more)
+        return written(rows, "nearest")
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_block(index: DataFrame, quantizer: Quantizer, block: pa.Table, nearest: int) -> DataFrame:
-    ids, d = block.column("key").to_numpy(), quantizer.books.shape[2]
-    queries = _matrix(block.column("x").combine_chunks(), d)
+def _pass(index: DataFrame, blocks: DataFrame, quantizer: Quantizer, nearest: int) -> DataFrame:
+    """query_id, vec_id, score: of each task and query of blocks, the nearest rows of the task's part of the index. Every block meets every index pack."""
+    asked = blocks.select(F.col("pack").alias("block"), F.col("ids").alias("asked_ids"), F.col("x").alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Search(quantizer, ids, queries, nearest)
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS)
-                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                task.feed(batch.column("key").to_numpy(), _matrix(batch.column("x"), d), codes, batch.column("norm").to_numpy())
-        yield pa.RecordBatch.from_pydict(task.rows())
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+        d, held = quantizer.books.shape[2], {}
+        part = lambda column, kind, i: np.frombuffer(column[i].as_py(), dtype=kind)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                if block not in held:
+                    held[block] = Search(part(batch.column("asked_ids"), np.int64, i), nearest)
+                queries, x = (part(batch.column(c), np.float64, i).reshape(-1, d) for c in ("asked", "x"))
+                codes = part(batch.column("codes"), np.uint8, i).reshape(len(x), -1)
+                held[block].feed(quantizer, queries, part(batch.column("ids"), np.int64, i), x, codes, part(batch.column("norms"), np.float64, i))
+        for task in held.values():
+            yield pa.RecordBatch.from_pydict(task.rows())
+
+    return index.crossJoin(F.broadcast(asked)).mapInArrow(run, "query_id long, vec_id long, score double")
