@@ -1,6 +1,7 @@
 """Near duplicates of documents and lines, neighbours, mixing, the pipeline."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import additive_ann, jaccard_join, line_dedup, links, mixing, queries
+from larkspur.llm.storage import Scratch
 from larkspur.llm.shingles import intersection_size, parity_sketch, shingle_sets
 
 
@@ -53,11 +55,28 @@ def near_copies(seed: int, n: int = 90) -> list[str]:
     return texts
 
 
+def lower(s: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+
+
+def word_shingles(text: str | None) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two texts that any polynomial hash modulo a power of two confuses."""
+    a, b = "A", "B"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_against_brute_force(spark, seed):
-    texts = near_copies(seed) + ["a b c", "A  b\tc", "a b c d e", "a b c d e f", "", None, "   ", "x " * 30_000]
+    texts = near_copies(seed) + ["a b c", "A  b\tc", "a b c d e", "a b c d e f", "", None, "   ", "x " * 30_000, *thue_morse(1024), "Ünï É x y z w", "ünï É x y z w"]
     df = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("component_id", F.lit("own"))
-    sets = [frozenset(s.tolist()) for s in shingle_sets(pa.array(texts))]
+    sets = [word_shingles(t) for t in texts]
     root = components_of(len(texts), linked(sets))
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df).collect()}
     assert out == {i + 10: (len(sets[i]), (root[i] if sets[i] else i) + 10) for i in range(len(texts))}
@@ -100,9 +119,10 @@ def test_components_of_chains_and_stars(spark, monkeypatch, most):
     monkeypatch.setattr(links, "EDGES", most)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, 150), (150, 170)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
-    got = {r["item"]: r["root"] for r in links.components(df).collect()}
+    with Scratch(spark) as at:
+        got = {r["item"]: r["root"] for r in links.components(df, df.count(), at).collect()}
+        assert links.components(df.limit(0), 0, at).count() == 0
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(40)) and got[200] == got[170] == 150
-    assert links.components(df.limit(0)).count() == 0
 
 
 def test_large_mixed_groups_are_dealt_in_blocks(spark, monkeypatch):
@@ -119,7 +139,6 @@ def test_large_mixed_groups_are_dealt_in_blocks(spark, monkeypatch):
 
 
 def brute_lines(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
     places = [(d, i, x) for d, t in sorted(rows) if t is not None for i, x in enumerate(t.split("\n"))]
     keys = list(dict.fromkeys(lower(x) for _, _, x in places if len(x) >= 15))
     sets = [frozenset(k[i : i + 8] for i in range(len(k) - 7)) for k in keys]
@@ -150,7 +169,7 @@ def test_lines_against_brute_force(spark):
                 x = " ".join(parts)
             lines.append(x.upper() if rng.random() < 0.1 else x)
         rows.append((d, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "short"), (104, "short"), (105, "line " * 40_000)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "short"), (104, "short"), (105, "line " * 40_000), (106, "\n".join(thue_morse(1024)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_kept": F.lit("own"), "extra": F.lit(1)})
     out = line_dedup.dedup_lines(df)
     assert out.columns == ["doc_id", "text", "extra", "n_lines", "n_kept"]
@@ -165,6 +184,59 @@ def test_lines_odd_tables(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_share_a_hash(spark, monkeypatch):
+    """Eight items for all lines: the second hash tells them apart."""
+
+    class Weak(line_dedup.Spans):
+        def both(self, start, end):
+            h, check = super().both(start, end)
+            return h % 8, check
+
+    import larkspur.llm.line_dedup as module
+
+    real = module._survey
+
+    def survey(buckets, key_type, short):
+        run, schema = real(buckets, key_type, short)
+
+        def weak(batches):
+            module.Spans = Weak
+            yield from run(batches)
+
+        return weak, schema
+
+    monkeypatch.setattr(module, "_survey", survey)
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(50)]
+    pool = [" ".join(rng.choice(words, 9)) for _ in range(30)]
+    rows = [(d, "\n".join(rng.choice(pool, 4))) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
+
+
+def test_sets_that_share_an_id(spark, monkeypatch):
+    real = jaccard_join.set_id
+    monkeypatch.setattr(jaccard_join, "set_id", lambda tokens: (real(tokens)[0] % 4, real(tokens)[1]))
+    run_survey, run_contents = jaccard_join._survey, jaccard_join._contents
+    weak = jaccard_join.set_id
+
+    def survey(*args):
+        run, schema = run_survey(*args)
+
+        def inner(batches):
+            jaccard_join.set_id = weak
+            yield from run(batches)
+
+        return inner, schema
+
+    monkeypatch.setattr(jaccard_join, "_survey", survey)
+    texts = near_copies(7, 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [word_shingles(t) for t in texts]
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(df).collect()}
+    assert out == dict(enumerate(components_of(len(texts), linked(sets))))
+
+
 # -- neighbours
 
 
@@ -250,3 +322,99 @@ def test_pipeline_stages(spark, sf):
         seen = nxt
     out = cp.run(spark, sf)
     assert out.count() == seen.count() and out.where("n_tokens < 3").count() == 0
+
+
+def pipeline_fixture() -> tuple[list, list]:
+    rng = np.random.default_rng(11)
+    good = [f"word{i}" for i in range(300)]
+    bad = [f"#{i}!" for i in range(60)]
+    docs, labels = [], []
+    for i in range(60):
+        words = good if i % 3 else bad
+        lines = [" ".join(rng.choice(words, 9)) for _ in range(int(rng.integers(1, 5)))]
+        docs.append((i, "\n".join(lines), "en", f"s{i % 4}"))
+        labels.append((i, int(i % 3 > 0), 0))
+    docs += [(100, docs[1][1], "en", "s1"), (101, docs[1][1] + "\n" + docs[2][1] + " more", "en", "s2"), (102, None, "en", "s0"), (103, "", "en", None), (104, "word1 " * 30_000, None, "s0"), (None, docs[4][1], "en", "s0")]
+    docs += [docs[5], docs[5]]
+    return docs, labels
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """documents with nulls, repeated rows, a long text, and columns named as the operators' own."""
+    docs, labels = pipeline_fixture()
+    where = str(tmp_path_factory.mktemp("corpus"))
+    own = {c: F.lit(77) for c in ("n_kept", "n_lines", "epoch", "rk", "drop", "__rk", "__s", "item", "root", "score", "c0")}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).withColumns(own)
+    df.write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where
+
+
+def plain_pipeline(docs: list[tuple], scores: dict) -> list[tuple]:
+    """What is left of docs before mixing: (doc_id, text)."""
+    rows = [(d, t) for d, t, *_ in docs if scores[d, t] >= queries.QUALITY_FROM]
+    kept_lines = brute_lines_short([r for r in rows])
+    rows = [(d, kept_lines[d, t]) for d, t in rows if t is None or t == "" or kept_lines[d, t] is not None]
+    rows = list(dict.fromkeys(rows))
+    sets = [word_shingles(t) for _, t in rows]
+    root = components_of(len(rows), linked(sets))
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    least = {}
+    for i, r in enumerate(root):
+        if sets[i] and (r not in least or order(i) < order(least[r])):
+            least[r] = i
+    return [x for i, x in enumerate(rows) if not sets[i] or least[root[i]] == i]
+
+
+def brute_lines_short(rows: list[tuple]) -> dict:
+    """As brute_lines, with short lines, repeated rows and null ids."""
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    blank = lambda x: not re.search(r"[^\x20\x09-\x0D]", x)
+    places = [(d, t, x) for d, t in order for x in t.split("\n")]
+    keys = list(dict.fromkeys(lower(x) for _, _, x in places if len(x) >= 15 or not blank(x)))
+    sets = [frozenset(k[i : i + 8] for i in range(len(k) - 7)) for k in keys]
+    root = dict(zip(keys, components_of(len(keys), linked(sets))))
+    seen, kept = set(), {}
+    for d, t, x in places:
+        kept.setdefault((d, t), [])
+        if (k := lower(x)) in root:
+            if root[k] in seen:
+                continue
+            seen.add(root[k])
+        kept[d, t].append(x)
+    return {(d, t): None if t is None else t if t == "" else "\n".join(kept[d, t]) if kept[d, t] else None for d, t in rows}
+
+
+def test_pipeline_against_plain_loops(spark, small_corpus):
+    import corpus_pipeline as cp
+    from larkspur.llm import quality, tokenize
+    from larkspur.llm.storage import written
+
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    labels = spark.read.parquet(f"{small_corpus}/labels.parquet")
+    scored = quality.score(docs, quality.fit(docs, labels), keep=["doc_id", "text"]).collect()
+    expected = plain_pipeline([tuple(r)[:4] for r in docs.select("doc_id", "text", "lang", "source").collect()], {(r["doc_id"], r["text"]): r["score"] for r in scored})
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    seen = docs
+    for name, stage in cp.STAGES[:3]:
+        seen = written(stage(spark, seen, small_corpus), name)
+        assert seen.columns == docs.columns and {tuple(r) for r in seen.select("n_kept", "n_lines", "epoch", "rk", "drop", "__rk", "item", "root").distinct().collect()} <= {(77,) * 8}
+        assert seen.where("n_chars <> length(text)").count() == 0
+    assert sorted(((r["doc_id"], r["text"]) for r in seen.collect()), key=key) == sorted(expected, key=key)
+    mixed = written(cp.mixing_stage(spark, seen, small_corpus), "mixing")
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.select("epoch", "__s", "c0").distinct().collect()} == {(77, 77, 77)}
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert set(times) == {d for d, _ in expected} and max(times.values()) <= 2
+    out = cp.run(spark, small_corpus)
+    digests = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in tokenize.round_trip_digests(spark.createDataFrame(expected, "doc_id long, text string"), queries.piece_model_path()).collect()}
+    assert {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in out.collect()} == digests
+    assert Counter(r["doc_id"] for r in out.collect()) == times
+
+
+def test_pipeline_stages_on_an_empty_table(spark, small_corpus):
+    import corpus_pipeline as cp
+
+    none = spark.read.parquet(f"{small_corpus}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, small_corpus).count() == 0
