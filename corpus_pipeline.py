@@ -10,6 +10,13 @@ written as Parquet and read again as the next stage's docs.
 4. mixing: sources are repeated up to REPEAT_LIMIT times towards equal weights;
    every document is read once at least.
 5. sentencepiece: each reading is encoded and decoded.
+
+Defined results: null and empty texts are scored like others, and those that
+are kept have no lines and no words, so they stay as they are; repeated rows
+(same id and text) stay together through the first two stages and are one from
+the third on; a null id is a document of its own; an empty table gives an empty
+one. Columns beside id, text and source are carried along to the fourth stage,
+whatever their names; n_chars, if there, follows the text.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, line_dedup, mixing, quality, tokenize
 from larkspur.llm.queries import QUALITY_FROM, piece_model_path
-from larkspur.llm.storage import table, written
+from larkspur.llm.storage import fresh, table, written
 
 #: The classifier can't be written in SQL.
 ORACLE_SQL = None
@@ -30,10 +37,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, short=True)
+    n, n_kept = fresh(docs, "n_lines"), fresh(docs, "n_kept")
+    kept = line_dedup.dedup_lines(docs, short=True, counts=(n, n_kept))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.where((F.col("n_kept") > 0) | (F.col("n_lines") == 0)).select(*docs.columns)
+    return kept.where((F.col(n_kept) > 0) | (F.col(n) == 0)).select(*docs.columns)
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, added=(fresh(docs, "n_tokens"), fresh(docs, "epoch"))).select(*docs.columns)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
