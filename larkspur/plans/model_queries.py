@@ -90,7 +90,7 @@ def delta_bca_ci(spark, sf):
 def delta_full(spark, sf):
     plan, a, b = _repeats(spark, sf)
     r = I.delta_lsi(a, b, "auc", plans=(plan.assign, plan.assign, "event_id"))
-    return spark.createDataFrame([(r.robust, r.p_value, r.tier, r.paired)], "robust double, p_value double, tier string, paired boolean")
+    return rounded(spark.createDataFrame([(r.robust, r.p_value, r.tier, r.paired)], "robust double, p_value double, tier string, paired boolean"), "robust", "p_value")
 
 
 def threshold_select(spark, sf):
@@ -159,14 +159,19 @@ b as (select repeat_id, fold, avg(case when (score >= 0.5)::int = y then 1.0 els
 d as (select x.repeat_id, x.m as leaky, z.m as guarded, x.m - z.m as delta from (select repeat_id, sum(n * value) / sum(n) as m from a group by repeat_id) x join (select repeat_id, sum(n * value) / sum(n) as m from b group by repeat_id) z on z.repeat_id = x.repeat_id)"""
 
 
-def _flip(size: int) -> str:
-    return f"""bl as (select k, sum(delta) as s, count(*) as m from (select delta, (row_number() over (order by repeat_id) - 1) // {size} as k from d) group by k),
+def _flip(size: int, alone: bool = True) -> str:
+    return f"""{"" if alone else "with "}bl as (select k, sum(delta) as s, count(*) as m from (select delta, (row_number() over (order by repeat_id) - 1) // {size} as k from d) group by k),
 t as (select sum(s) as total, count(*) as n_blocks, sum(m) as r from bl),
 j as (select unnest(range(0, cast(pow(2, n_blocks) as bigint))) as j from t),
 f as (select j.j, sum(bl.s * (1 - 2 * ((j.j >> bl.k::bigint) & 1))) as v from j, bl group by j.j)
 select n_blocks, round(avg(case when abs(v / r) >= abs(total / r) - 2.220446049250313e-14 then 1.0 else 0.0 end), 6) as p_value from f, t group by n_blocks"""
 
 
+# Reweighted means, a hundred times from the median.
+_HUBER = """xs as (select list(delta) as x, median(delta) as m from d), sc as (select x, m, 1.4826 * list_median(list_transform(x, lambda v: abs(v - m))) as s from xs),
+hb as (select case when s < 1e-8 then m else list_reduce(list_prepend(m, list_transform(range(100), lambda i: i::double)), lambda mu, i:
+  list_sum(list_transform(x, lambda v: v * least(1.0, 1.345 * s / greatest(abs(v - mu), 1e-300)))) / list_sum(list_transform(x, lambda v: least(1.0, 1.345 * s / greatest(abs(v - mu), 1e-300))))) end as huber from sc)"""
+
 _CFG = """cs as (select fold, 'c' || (event_id % 4) as config, avg(case when (score >= 0.5)::int = y then 1.0 else 0.0 end) as value from pred group by all),
 ct as (select config, avg(value) as mean, stddev_samp(value) as sd, count(*) as n, stddev_samp(value) / sqrt(count(*)) as se from cs group by config)"""
 
@@ -187,6 +192,8 @@ select cast(lag as integer) as lag, round(sum(a.d * b.d) / max(t.t), 6) as acf,
     "delta_paired": f"with {EV}, {_REP5} select repeat_id, round(leaky, 6) as leaky, round(guarded, 6) as guarded, round(delta, 6) as delta from d",
     "signflip_exact": f"with {EV}, {_REP5}, {_flip(1)}",
     "signflip_blocked_exact": f"with {EV}, {_REP5}, {_flip(2)}",
+    "delta_huber": f"with {EV}, {_REP5}, {_HUBER} select round(huber, 6) as huber from hb",
+    "delta_full": f"with {EV}, {_REP5}, {_HUBER}, pv as ({_flip(1, False)}) select round(huber, 6) as robust, p_value, 'C' as tier, true as paired from hb, pv",
     "block_size_ar1": f"""with {EV}, {_REP5}, l as (select delta as x, lag(delta) over (order by repeat_id) as p from d), r as (select greatest(0, coalesce(corr(x, p), 0)) as rho, count(*) as n from l)
 select round(rho, 6) as rho, case when n < 4 then 1 else greatest(1, least(case when rho >= 0.99 then n else cast(ceil(1 / (1 - rho)) as bigint) end, greatest(n // 3, 1))) end as block_size from r""",
     "pairing_check": f"""with {EV}, g as (select user_id, r as repeat_id, row_number() over (partition by r order by md5('1|split|' || r || '|' || user_id), user_id) - 1 as k from (select distinct user_id from ev), (select unnest([1, 2]) as r)),

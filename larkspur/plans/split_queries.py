@@ -136,6 +136,8 @@ b as (select fold, min(t) as tmin, max(t) as tmax, count(*) as test_n from a gro
 select 1 as repeat_id, b.fold, count(*) as train_n, b.test_n from b join a on a.t <= b.tmin - 10800000000 and a.t <= b.tmax - 691200000000 where b.test_n >= 3 group by b.fold, b.test_n""",
     "split_combined_exclusion": f"{_combined('o_orderkey // 4')} select 1 as repeat_id, fold, train_n from trn",
     "split_combined_dates": f"{_combined('day')} select 1 as repeat_id, trn.fold, train_n, test_n from trn join (select fold, count(*) as test_n from a group by fold) t on t.fold = trn.fold",
+    "split_component_packing": """with o as (select l_orderkey, row_number() over (order by md5('1|pack|1|' || l_orderkey), cast(l_orderkey as varchar)) - 1 as k from (select distinct l_orderkey from lineitem))
+select 1 as repeat_id, cast(k % 5 + 1 as integer) as fold, count(*) as test_n from lineitem join o using (l_orderkey) group by k % 5""",
     "split_components": """with recursive li as (select distinct cast(c_custkey as varchar) as g, c_nationkey as k from customer),
 e as (select distinct a.g as x, b.g as y from li a join li b on a.k = b.k),
 reach(g, c) as (select distinct g, g from li union select e.y, reach.c from reach join e on reach.g = e.x),
