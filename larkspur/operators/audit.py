@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -486,7 +488,8 @@ def audit_leakage(predictions: DataFrame, plan: SplitPlan, metric: str, task: st
     batch = with_pvalues(batch_assoc(plan, samples, columns)) if columns else []
     target = target_scan(samples, outcome, task, list(features), list(categorical), target_threshold, adjust) if outcome and (features or categorical) else []
     dups = duplicates(samples, plan, vector, threshold) if vector else None
-    info = {"metric": metric, "task": task, "n_perm": n, "seed": seed, "mode": plan.mode, "learner": learner}
+    info = {"metric": metric, "task": task, "n_perm": n, "seed": seed, "mode": plan.mode, "learner": learner, "restricted": restricted, "threshold": threshold, "target_threshold": target_threshold, "adjust": adjust, "ci_method": ci_method, "batch_columns": columns}
+    info["hash"] = hashlib.sha256(json.dumps(info, sort_keys=True, default=str).encode()).hexdigest()
     return AuditResult(gap_row, values, batch, target, dups, mechanism_summary(gap_row, batch, target, dups, plan.mode), info)
 
 

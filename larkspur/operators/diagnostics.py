@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.errors import InputError
 from larkspur.operators import metrics as M
 from larkspur.operators.splits import SplitPlan, as_number, check_split_overlap
 
@@ -17,6 +18,33 @@ def calibration_curve(df: DataFrame, truth: str = "truth", pred: str = "pred", b
     return rows.withColumn("bin", bin_).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_pred"), F.avg("t").alias("obs_rate"), F.min("p").alias("lo"), F.max("p").alias("hi"))
 
 
+def calibration_plot(df: DataFrame, truth: str = "truth", pred: str = "pred", bins: int = 10, min_bin_n: int = 5) -> DataFrame:
+    """The calibration curve's bins of at least min_bin_n rows."""
+    return calibration_curve(df, truth, pred, bins).where(F.col("n") >= min_bin_n)
+
+
+def plot(result, which: str = "fold_balance", **more) -> DataFrame | list[dict]:
+    """What a plot of a result draws: an audit's permutations, a fit's folds (fold_balance, calibration, overlap, acf, confounders), an inflation's repeats."""
+    if hasattr(result, "perm_values"):
+        return result.plot()
+    if hasattr(result, "repeats"):
+        return result.repeats
+    spec = result.info["refit"]
+    own = result.predictions
+    if which == "fold_balance":
+        return fold_balance(own, "truth", **more)
+    if which == "calibration":
+        return calibration_plot(own, **more)
+    if which == "overlap":
+        return overlap_counts(spec["plan"], **more)
+    if which == "acf":
+        return autocorrelation(own.join(spec["df"].select(spec["plan"].id_col, more["time"]), spec["plan"].id_col), more.pop("time"), "pred", spec["plan"].id_col, **more)
+    if which == "confounders":
+        side = spec["df"].select(spec["plan"].id_col, *more["confounders"])
+        return confounder_sensitivity(own.join(side, spec["plan"].id_col), **more)
+    raise InputError("which is fold_balance, calibration, overlap, acf or confounders")
+
+
 def calibration_summary(df: DataFrame, truth: str = "truth", pred: str = "pred", bins: int = 10) -> DataFrame:
     """(ece, mce, brier, n) over all bins."""
     curve = calibration_curve(df, truth, pred, bins)

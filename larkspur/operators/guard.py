@@ -7,6 +7,8 @@ transform() is a single select that Catalyst compiles.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,6 +56,24 @@ class GuardModel:
     reference: DataFrame | None = None
     forests: dict = field(default_factory=dict)
 
+    def steps(self) -> list[dict]:
+        """What each step did: the number of columns before and after it, and of values that it had to fill."""
+        c, d = self.config, self.diagnostics
+        kept = d["p_after_encode"] - d["removed_by_filter"]
+        return [
+            {"step": "encode", "method": "levels", "p_in": d["p_in"], "p_out": d["p_after_encode"]}, {"step": "winsorize", "method": f"{c.winsor_k} MAD" if c.winsorize else "none", "p_in": d["p_after_encode"], "p_out": d["p_after_encode"]},
+            {"step": "impute", "method": c.impute, "p_in": d["p_after_encode"], "p_out": d["p_after_encode"]}, {"step": "normalize", "method": c.normalize, "p_in": d["p_after_encode"], "p_out": d["p_after_encode"]},
+            {"step": "filter", "method": f"variance {c.var_thresh}, IQR {c.iqr_thresh}", "p_in": d["p_after_encode"], "p_out": kept}, {"step": "select", "method": c.select, "p_in": kept, "p_out": d["p_out"]},
+        ]
+
+    def fingerprint(self) -> str:
+        """Equal for models of equal settings and statistics."""
+        told = {"config": self.config.__dict__, "columns": self.columns, "levels": self.levels, "stats": self.stats}
+        return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
+
+    def describe(self) -> str:
+        return "\n".join(f"{s['step']} ({s['method']}): {s['p_in']} -> {s['p_out']}" for s in self.steps())
+
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """keep and the final columns; columns that df lacks are taken as null, so as 0 after normalization."""
         out = encode(df, keep, self.numeric, self.categorical, self.levels)

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import metrics as M
 from larkspur.errors import FallbackWarning, warn
 from larkspur.functions.stats_dist import norm_cdf, norm_ppf
 
@@ -26,6 +27,13 @@ def higher_is_better(metric: str) -> bool:
     return not LOWER_IS_BETTER.search(metric)
 
 
+def fold_metrics(predictions: DataFrame, metric: str = "auc", task: str = "binomial", learner: str | None = None) -> DataFrame:
+    """(repeat_id, fold, value, n): a fit's metric by fold, recomputed from its predictions."""
+    own = predictions.where(F.col("learner") == learner) if learner else predictions
+    by = ["repeat_id", "fold"]
+    return M.evaluate(own, metric, task, "truth", "pred", by).withColumnRenamed(metric, "value").join(own.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+
+
 def repeat_means(folds: DataFrame, value: str = "value", size: str = "n") -> DataFrame:
     """(repeat_id, mean, folds): means over finite folds, weighted by test size (1 at least)."""
     ok = folds.where(F.col(value).isNotNull() & ~F.isnan(value))

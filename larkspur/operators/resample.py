@@ -355,11 +355,11 @@ def refit_gap(df: DataFrame, outcome: str, plan: SplitPlan, features: list[str],
     labels = P.permuted_labels(df, id_col, outcome, n, restricted, seed, i["group"], i["batch"], i["study"], i["time"])
     every = labels.unionByName(df.select(F.lit(0).alias("b"), id_col, outcome))
     folds = every.join(plan.assign.where("repeat_id = 1").select(id_col, "fold"), id_col).select("b", id_col, "fold", outcome)
-    rows = folds.join(df.drop(outcome), id_col)
+    rows = folds.join(df.select(id_col, F.array(*[F.col(c).cast("double") for c in features]).alias("__x")), id_col)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        x, y, fold, out = pdf[features].to_numpy(dtype=float), pdf[outcome].to_numpy(dtype=float), pdf["fold"].to_numpy(), np.full(len(pdf), np.nan)
+        x, y, fold, out = np.array([list(v) for v in pdf["__x"]], dtype=float), pdf[outcome].to_numpy(dtype=float), pdf["fold"].to_numpy(), np.full(len(pdf), np.nan)
         for f in np.unique(fold):
             tr = fold != f
             if len(np.unique(y[tr])) == 2:
@@ -367,7 +367,7 @@ def refit_gap(df: DataFrame, outcome: str, plan: SplitPlan, features: list[str],
                 out[~tr] = predict_linear(fit_logistic(a, y[tr]), b, True)
         return pd.DataFrame({"b": pdf["b"], "truth": y, "pred": out})
 
-    scored = rows.select("b", id_col, "fold", outcome, *features).groupBy("b").applyInPandas(fit, "b int, truth double, pred double")
+    scored = rows.select("b", id_col, "fold", outcome, "__x").groupBy("b").applyInPandas(fit, "b int, truth double, pred double")
     values = {r["b"]: r["auc"] for r in M.auc(scored, "truth", "pred", ["b"]).collect()}
     obs, perm = values.pop(0), list(values.values())
     return {"metric_obs": obs, "perm_mean": float(np.mean(perm)), "gap": obs - float(np.mean(perm))} | U.permutation_p(perm, obs)

@@ -123,20 +123,21 @@ class TuneResult:
 def tune_resample(df: DataFrame, outcome: str, features: list[str], plan, configs: list[dict], simpler: dict[str, str], inner_v: int = 3, metric: str = "auc", rule: str = "best", tune_threshold: bool = False, threshold_metric: str = "f1") -> TuneResult:
     """Nested cross-validation of the ridge-penalised logistic learner: all outer folds, inner folds and configurations are groups of one job."""
     from larkspur.operators.resample import logistic_predictions
-    from larkspur.operators.splits import nested_plan
+    from larkspur.operators.splits import checkpointed, nested_plan
 
     spark, id_col = df.sparkSession, plan.id_col
     params = spark.createDataFrame([(c["config"], *[float(c[k]) for k in c if k != "config"]) for c in configs], ["config", *[k for k in configs[0] if k != "config"]])
     inner = nested_plan(plan, inner_v)
-    inner_pred = logistic_predictions(df, outcome, features, id_col, inner.withColumnRenamed("inner_fold", "fold"), configs, ["outer_repeat", "outer_fold"])
+    inner_pred = checkpointed(logistic_predictions(df, outcome, features, id_col, inner.withColumnRenamed("inner_fold", "fold"), configs, ["outer_repeat", "outer_fold"]))
     metric = usable_metrics([metric], inner_pred)[0]
-    scores = M.evaluate(inner_pred, metric, "binomial", "truth", "pred", ["outer_repeat", "outer_fold", "fold", "config"]).withColumnsRenamed({metric: "value", "fold": "inner_fold"})
-    best = select_config(scores, params, simpler, rule, True, ["outer_repeat", "outer_fold"])
+    scores = checkpointed(M.evaluate(inner_pred, metric, "binomial", "truth", "pred", ["outer_repeat", "outer_fold", "fold", "config"]).withColumnsRenamed({metric: "value", "fold": "inner_fold"}))
+    best = checkpointed(select_config(scores, params, simpler, rule, True, ["outer_repeat", "outer_fold"]))
     thresholds = threshold_select(inner_pred.join(best.select("outer_repeat", "outer_fold", "config"), ["outer_repeat", "outer_fold", "config"]), "truth", "pred", threshold_metric, by=["outer_repeat", "outer_fold"]) if tune_threshold else None
     every = logistic_predictions(df, outcome, features, id_col, plan.assign, configs, ["repeat_id"]).withColumnsRenamed({"repeat_id": "outer_repeat", "fold": "outer_fold"})
     outer = every.join(best.select("outer_repeat", "outer_fold", "config"), ["outer_repeat", "outer_fold", "config"])
     if thresholds is not None:
         outer = outer.join(thresholds.select("outer_repeat", "outer_fold", "threshold"), ["outer_repeat", "outer_fold"]).withColumn("pred_class", (F.col("pred") >= F.col("threshold")).cast("int"))
+    outer = checkpointed(outer)
     numeric = [k for k in configs[0] if k != "config"]
     final = aggregate_params(best.join(params, "config"), numeric).first().asDict()
     status = outer_status(plan.assign.withColumnsRenamed({"repeat_id": "outer_repeat", "fold": "outer_fold"}), best, outer.where("pred is not null and not isnan(pred)"))

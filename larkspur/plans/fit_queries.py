@@ -5,12 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from larkspur.operators import diagnostics as D
 from larkspur.operators import guard as G
+from larkspur.operators import inference as I
 from larkspur.operators import resample as R
 from larkspur.operators import tune as T
 from larkspur.operators.audit import tuned_predictions
 from larkspur.operators.splits import make_split_plan
-from larkspur.plans.common import EV, PRED, events, predictions, rounded, subject_plan
+from larkspur.plans.common import EV, PRED, events, predictions, rounded, subject_plan, table
+from larkspur.sources.folds import import_folds
+from larkspur.sources.tables import aligned
 
 MEAN = (lambda x, y, task, w: float(np.average(y, weights=w)), lambda m, x, task: np.full(len(x), m))
 SHARES = (lambda x, y, task, w: np.bincount(y.astype(int), w) / w.sum(), lambda m, x, task: np.tile(m, (len(x), 1)))
@@ -109,8 +113,34 @@ def tuned_fold_sequence(spark, sf):
     return rounded(tuned_predictions(outer).groupBy("learner", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean")), "mean")
 
 
+def fit_fold_metrics(spark, sf):
+    """AUC of each fold, recomputed from a fit's predictions."""
+    raw = (lambda x, y, task, w: None, lambda m, x, task: x[:, 0])
+    fit = R.fit_resample(events(spark, sf), "y", subject_plan(spark, sf), "binomial", {"raw": raw}, ["score"], ["accuracy"])
+    return rounded(I.fold_metrics(fit.predictions, "auc", learner="raw"), "value")
+
+
+def calibration_plot(spark, sf):
+    return rounded(D.calibration_plot(events(spark, sf).where("event_id % 50 = 0"), "y", "score", 10, 20), "mean_pred", "obs_rate", "lo", "hi")
+
+
+def aligned_nonstrict(spark, sf):
+    """Orders with their customers' segments; only half of the customers are known."""
+    known = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return aligned(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey", strict=False)
+
+
+def folds_import_levels(spark, sf):
+    """Foreign folds whose labels have an order of their own, and a role given by name."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("id"))
+    order = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+    plan = import_folds(o.select("o_orderkey", "id"), o.drop("id"), "o_orderkey", levels={"id": order}, split_cols={"group": "o_custkey"})
+    return plan.assign.groupBy("repeat_id", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
+
+
 QUERIES = {f.__name__: f for f in (
-    fit_ols_predictions, fit_guarded_ols, fit_custom_learner, fit_multiclass, fit_survival, fit_status, fit_summary, fit_final, fit_estimator, tune_threshold_stability, tune_outer_status, tuned_fold_sequence,
+    fit_ols_predictions, fit_guarded_ols, fit_custom_learner, fit_multiclass, fit_survival, fit_status, fit_summary, fit_final, fit_estimator, tune_threshold_stability, tune_outer_status, tuned_fold_sequence, fit_fold_metrics, calibration_plot, aligned_nonstrict,
+    folds_import_levels,
 )}
 
 _PAIRS = f"{PRED}, folds as (select unnest([1, 2, 3, 4, 5]) as f)"
@@ -118,6 +148,11 @@ _OLS = "line as (select f, regr_slope(x, score) as b, regr_intercept(x, score) a
 _T4 = 2.7764451051977987  # Student's t at 0.975 with 4 degrees of freedom
 
 ORACLES = {
+    "fit_fold_metrics": f"""with {PRED}, r as (select fold, y, rank() over (partition by fold order by score) + (count(*) over (partition by fold, score) - 1) / 2.0 as r from pred)
+select 1 as repeat_id, fold, round((sum(r) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) as value, count(*) as n from r group by fold""",
+    "calibration_plot": f"with {EV} select cast(greatest(1, ceil(score * 10)) as integer) as bin, count(*) as n, round(avg(score), 6) as mean_pred, round(avg(y), 6) as obs_rate, round(min(score), 6) as lo, round(max(score), 6) as hi from ev where event_id % 50 = 0 group by 1 having count(*) >= 20",
+    "aligned_nonstrict": "select o_custkey, o_orderkey, c_mktsegment from orders left join (select * from customer where c_custkey % 2 = 0) on c_custkey = o_custkey",
+    "folds_import_levels": """select 1 as repeat_id, cast(6 - cast(left(o_orderpriority, 1) as integer) as integer) as fold, count(*) as n, min(o_orderkey) as least from orders group by o_orderpriority""",
     "fit_ols_predictions": f"with {_PAIRS}, {_OLS} select event_id, fold, fold as fold_seq, 'ols' as learner, round(x, 6) as truth, round(a + b * score, 6) as pred from pred join line on fold = f",
     "fit_guarded_ols": f"""with {_PAIRS}, md as (select f, median(score) as m from pred, folds where fold <> f group by f),
 mad as (select md.f, m, median(abs(score - m)) as d from pred, md where fold <> md.f group by md.f, m),

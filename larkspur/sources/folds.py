@@ -12,22 +12,30 @@ from larkspur.operators.splits import SplitPlan, make_split_plan
 ROLES = {"group": ("group", "subject"), "batch": ("batch",), "study": ("study",), "time": ("time", "date", "index")}
 
 
-def import_folds(folds: DataFrame, samples: DataFrame, id_col: str, repeat: str = "id", fold: str = "id2") -> SplitPlan:
-    """A plan from assessment rows (id_col, fold labels). Labels are numbered in sorted order.
+def import_folds(folds: DataFrame, samples: DataFrame, id_col: str, repeat: str = "id", fold: str = "id2", levels: dict[str, list[str]] | None = None, split_cols: dict[str, str] | None = None) -> SplitPlan:
+    """A plan from assessment rows (id_col, fold labels). Labels are numbered in the order of levels (column -> labels), or sorted.
 
     With only one label column it is the fold and there is one repeat. The mode
-    follows from the columns that samples has; none or several are an error.
+    follows from split_cols (role -> column) or else from the columns that
+    samples has; none or several are an error.
     """
     two = fold in folds.columns
-    number = lambda c: F.dense_rank().over(Window.orderBy(c)).cast("int")  # noqa: E731  of the distinct labels
+    levels = levels or {}
+    if unknown := set(split_cols or {}) - set(ROLES):
+        raise InputError(f"unknown roles: {sorted(unknown)}")
+    place = lambda c: F.array_position(F.array(*[F.lit(x) for x in levels[c]]), F.col(c)) if c in levels else F.col(c)
+    number = lambda c: F.dense_rank().over(Window.orderBy(place(c))).cast("int")  # noqa: E731  of the distinct labels
     labels = folds.select(*([repeat, fold] if two else [repeat])).distinct()
     if two:
         repeats = labels.select(repeat).distinct().withColumn("repeat_id", number(repeat))
-        named = labels.join(repeats, repeat).withColumn("fold_no", F.dense_rank().over(Window.partitionBy(repeat).orderBy(fold)).cast("int"))
+        named = labels.join(repeats, repeat).withColumn("fold_no", F.dense_rank().over(Window.partitionBy(repeat).orderBy(place(fold))).cast("int"))
     else:
         named = labels.withColumns({"repeat_id": F.lit(1), "fold_no": number(repeat)})
     assign = folds.join(named, [repeat, fold] if two else [repeat]).select(id_col, "repeat_id", F.col("fold_no").alias("fold"))
-    found = {role: next((c for c in names if c in samples.columns), None) for role, names in ROLES.items()}
+    if split_cols:
+        found = {role: split_cols.get(role) for role in ROLES}
+    else:
+        found = {role: next((c for c in names if c in samples.columns), None) for role, names in ROLES.items()}
     modes = {"group": "subject_grouped", "batch": "batch_blocked", "study": "study_loocv", "time": "time_series"}
     have = [r for r in found if found[r]]
     if len(have) != 1:

@@ -7,7 +7,9 @@ import os
 import platform
 import subprocess
 
-from larkspur.operators.audit import AuditResult
+from larkspur.operators.audit import AuditResult, audit_leakage
+from larkspur.operators.diagnostics import calibration_plot
+from larkspur.operators.resample import ResampleFit
 
 
 def provenance(spark, git: bool = True) -> dict:
@@ -48,8 +50,13 @@ def _bars(values: list[float], mark: float, width: int = 480, height: int = 120,
     return f'<svg width="{width}" height="{height}" fill="#888">{bars}<line x1="{x:.1f}" x2="{x:.1f}" y1="0" y2="{height}" stroke="#c00" stroke-width="2"/></svg>'
 
 
-def audit_report(audit: AuditResult, path: str, calibration: list[dict] | None = None, confounders: list[dict] | None = None, about: dict | None = None) -> str:
-    """Write the report; returns its path. Duplicates are shown up to 50."""
+def audit_report(audit: AuditResult | ResampleFit, path: str, calibration: list[dict] | None = None, confounders: list[dict] | None = None, about: dict | None = None) -> str:
+    """Write the report; returns its path. A fit is audited first (its first learner, by its first metric). Duplicates are shown up to 50."""
+    if isinstance(audit, ResampleFit):
+        spec, metric = audit.info["refit"], audit.info["metrics"][0]
+        learner = audit.predictions.agg({"learner": "min"}).first()[0]
+        calibration = calibration or ([r.asDict() for r in calibration_plot(audit.predictions.where(f"learner = '{learner}'")).orderBy("bin").collect()] if audit.info["task"] == "binomial" else None)
+        audit = audit_leakage(audit.predictions.drop("fold").withColumnRenamed("fold_seq", "fold"), spec["plan"], metric, audit.info["task"], learner=learner)
     dups = [r.asDict() for r in audit.duplicates.limit(50).collect()] if audit.duplicates is not None else []
     sections = [
         ("Summary", f"<pre>{html.escape(audit.describe())}</pre>" + _table(audit.mechanisms)), ("Permutation gap", _table([audit.permutation_gap]) + _bars(audit.perm_values, audit.permutation_gap["metric_obs"])),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.errors import ColumnError, InputError, signal
+from larkspur.errors import ColumnError, FallbackWarning, InputError, signal, warn
 from larkspur.ids import need_columns
 
 
@@ -30,13 +30,15 @@ def metadata(df: DataFrame, id_col: str, columns: list[str | None]) -> DataFrame
     return df.select(id_col, *[c for c in dict.fromkeys(columns) if c and c in df.columns])
 
 
-def aligned(df: DataFrame, side: DataFrame, id_col: str) -> DataFrame:
-    """df with the side table's columns; every row must have exactly one match there, whatever either's order."""
+def aligned(df: DataFrame, side: DataFrame, id_col: str, strict: bool = True) -> DataFrame:
+    """df with the side table's columns, whatever either's order. Strict: every row has exactly one match there; else rows without one get nulls, and a warning tells how many."""
     clash = [c for c in side.columns if c != id_col and c in df.columns]
-    joined = df.join(side.drop(*clash), id_col)
+    joined = df.join(side.drop(*clash), id_col, "inner" if strict else "left")
     n, m = df.count(), joined.count()
     if n != m:
         raise InputError(f"{n} rows, {m} after matching {id_col}")
+    if not strict and (lost := df.join(side, id_col, "left_anti").count()):
+        warn(f"{lost} rows without a match by {id_col}", FallbackWarning)
     return joined
 
 
