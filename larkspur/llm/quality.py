@@ -1,7 +1,8 @@
 """A text quality classifier: naive Bayes support vectors.
 
-Features are presence indicators of character n-grams of one to three and of
-word unigrams and bigrams, and of how often words follow themselves, hashed
+Features are presence indicators of character n-grams of one to three, of word
+unigrams and bigrams, and of word bigrams and trigrams of one word over and
+over (any word) that occur once, three times, seven times and so on, hashed
 into 2**18 places. Each indicator is scaled
 by the log-count ratio of the two classes; a linear model on the scaled
 indicators is fit to the hinge loss by dual coordinate descent. Margins become
@@ -40,7 +41,7 @@ EPOCHS = 12
 COST = 1.0
 NORM = 0.25  # a row is divided by its number of features to this power
 FOLDS = 3
-_CHAR_BITS = 16  # character n-grams take the first 2**16 places, the abstract ones the last 2**12, words the others
+_CHAR_BITS = 16  # character n-grams take the first 2**16 places, repeats the last 2**12, words the others
 
 
 def _presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,26 +70,24 @@ def _presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(first))
         for part, of in ((h, owner), (mix(h[:-1] * np.uint64(3) + h[1:])[owner[:-1] == owner[1:]], owner[:-1][owner[:-1] == owner[1:]])):
             keys.append(of << BITS | ((1 << _CHAR_BITS) + (part % rest).astype(np.int64)))
-        keys.append(_abstract(h, owner, n))
+        keys.append(_repeats(h, owner, n))
         key = np.unique(np.concatenate(keys))
         yield n, key >> BITS, key & ((1 << BITS) - 1)
 
 
-def _abstract(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Indicators of n-grams whose words are only told equal or not: how often a word follows itself (by powers of two, alone and as a share of the words), and of the text's length."""
+def _repeats(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Indicators of bigrams and trigrams of one word over and over: that they occur 2**k - 1 times or more, for each k."""
     again = np.zeros(len(h), dtype=bool)
     again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
     twice = again.copy()
     twice[1:] &= again[:-1]
-    words = np.bincount(owner, minlength=n)
-    log2 = lambda x: np.ceil(np.log2(x + 1.0)).astype(np.int64)
-    size = log2(words)
-    keys = [size]
+    keys = []
     for kind, flags in ((1, again), (2, twice)):
-        count = np.bincount(owner[flags], minlength=n)
-        keys += [kind << 12 | log2(count), (kind + 2) << 12 | np.minimum(20, count * 20 // np.maximum(words, 1))]
-    text = np.arange(n, dtype=np.int64) << BITS
-    return np.concatenate([text | ((1 << BITS) - 1 - (mix(k.astype(np.uint64)) % np.uint64(1 << 12)).astype(np.int64)) for k in keys])
+        steps = np.floor(np.log2(np.bincount(owner[flags], minlength=n) + 1.0)).astype(np.int64)
+        text = np.repeat(np.arange(n, dtype=np.int64), steps)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+        keys.append(text << BITS | ((1 << BITS) - 1 - (mix((kind << 12 | k).astype(np.uint64)) % np.uint64(1 << 12)).astype(np.int64)))
+    return np.concatenate(keys)
 
 
 @dataclass
