@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import audit_queries, fit_queries, guard_queries, metric_queries, model_queries, split_queries
+from larkspur.plans import audit_queries, fit_queries, guard_queries, metric_queries, model_queries, source_queries, split_queries
 
-_MODULES = (split_queries, metric_queries, guard_queries, audit_queries, model_queries, fit_queries)
+_MODULES = (split_queries, metric_queries, guard_queries, audit_queries, model_queries, fit_queries, source_queries)
 
 
 def queries() -> dict:
