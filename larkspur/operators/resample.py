@@ -346,28 +346,43 @@ def permutation_gap(fit: ResampleFit, metric: str = "auc", n: int = 200, mode: s
     return audit.permutation_gap | {"mode": "fixed"}
 
 
-def refit_gap(df: DataFrame, outcome: str, plan: SplitPlan, features: list[str], n: int, seed: int = 1, restricted: str = "global") -> dict:
-    """The permutation gap with the logistic learner refitted under each permutation of the outcome; permutations and folds are groups of one job."""
+def refit_rows(df: DataFrame, outcome: str, plan: SplitPlan, features: list[str], n: int, seed: int = 1, restricted: str = "global") -> DataFrame:
+    """b, fold, id, y, x: the rows of n permutations of the outcome, and of the outcome itself (b = 0)."""
     from larkspur.operators import permute as P
-    from larkspur.operators import uncertainty as U
 
     i, id_col = plan.info, plan.id_col
     labels = P.permuted_labels(df, id_col, outcome, n, restricted, seed, i["group"], i["batch"], i["study"], i["time"])
     every = labels.unionByName(df.select(F.lit(0).alias("b"), id_col, outcome))
-    folds = every.join(plan.assign.where("repeat_id = 1").select(id_col, "fold"), id_col).select("b", id_col, "fold", outcome)
-    rows = folds.join(df.select(id_col, F.array(*[F.col(c).cast("double") for c in features]).alias("__x")), id_col)
+    folds = every.join(plan.assign.where("repeat_id = 1").select(id_col, "fold"), id_col).select("b", "fold", F.col(id_col).alias("id"), F.col(outcome).cast("double").alias("y"))
+    return folds.join(df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")), "id")
+
+
+def refit_scores(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, b, auc: the logistic learner refitted in every fold under each permutation; permutations and whatever by names are groups of one job. rows: of refit_rows()."""
+    by = list(by)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        x, y, fold, out = np.array([list(v) for v in pdf["__x"]], dtype=float), pdf[outcome].to_numpy(dtype=float), pdf["fold"].to_numpy(), np.full(len(pdf), np.nan)
+        pdf = pdf.sort_values("id")
+        x, y, fold, out = np.array([list(v) for v in pdf["x"]], dtype=float), pdf["y"].to_numpy(), pdf["fold"].to_numpy(), np.full(len(pdf), np.nan)
         for f in np.unique(fold):
             tr = fold != f
             if len(np.unique(y[tr])) == 2:
                 a, b = _scale(x[tr], x[~tr])
                 out[~tr] = predict_linear(fit_logistic(a, y[tr]), b, True)
-        return pd.DataFrame({"b": pdf["b"], "truth": y, "pred": out})
+        return pd.DataFrame({**{c: pdf[c] for c in by}, "b": pdf["b"], "truth": y, "pred": out})
+
+    kinds = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in by], "b int, truth double, pred double"])
+    scored = rows.select(*by, "b", "id", "fold", "y", "x").groupBy(*by, "b").applyInPandas(fit, kinds)
+    return M.auc(checkpointed(scored), "truth", "pred", [*by, "b"])
 
-    scored = rows.select("b", id_col, "fold", outcome, "__x").groupBy("b").applyInPandas(fit, "b int, truth double, pred double")
-    values = {r["b"]: r["auc"] for r in M.auc(scored, "truth", "pred", ["b"]).collect()}
-    obs, perm = values.pop(0), list(values.values())
-    return {"metric_obs": obs, "perm_mean": float(np.mean(perm)), "gap": obs - float(np.mean(perm))} | U.permutation_p(perm, obs)
+
+def gap_of(values: dict[int, float]) -> dict:
+    """The gap and its p-value, from AUCs by permutation (0: the outcome itself)."""
+    perm = [v for b, v in values.items() if b]
+    mean = float(np.mean(perm)) if perm else float("nan")
+    return {"metric_obs": values[0], "perm_mean": mean, "gap": values[0] - mean} | uncertainty.permutation_p(perm, values[0])
+
+
+def refit_gap(df: DataFrame, outcome: str, plan: SplitPlan, features: list[str], n: int, seed: int = 1, restricted: str = "global") -> dict:
+    """The permutation gap with the logistic learner refitted under each permutation of the outcome."""
+    return gap_of({r["b"]: r["auc"] for r in refit_scores(refit_rows(df, outcome, plan, features, n, seed, restricted)).collect()})

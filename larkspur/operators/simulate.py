@@ -59,28 +59,39 @@ def simulate_dataset(spark: SparkSession, n: int, p: int, leakage: str = "none",
     return df
 
 
-def simulate_suite(spark: SparkSession, seeds: list[int], n: int = 200, p: int = 10, mode: str = "subject_grouped", leakage: str = "none", permutations: int = 20, signal: float = 1.0) -> DataFrame:
-    """(seed, metric_obs, gap, p_value, leakage, mode): one simulated study for each seed; fits of all permutations and folds are one job each."""
-    from larkspur.operators.resample import refit_gap
+RUNS = 12  # simulated studies that are fitted in one job
+
+
+def _studies(spark: SparkSession, runs: list[dict], permutations: int, signal: float) -> list[dict]:
+    """metric_obs, gap and p_value of each run (n, p, mode, leakage, seed); a run is one more key of the fits."""
+    from larkspur.operators.resample import gap_of, refit_rows, refit_scores
     from larkspur.operators.splits import make_split_plan
 
-    rows = []
-    for seed in seeds:
-        df = simulate_dataset(spark, n, p, leakage, signal=signal, seed=seed)
-        plan = make_split_plan(df, mode, id_col="row_id", group="subject", batch="batch", study="study", time="time", outcome="y", seed=seed, check=False)
-        features = [c for c in df.columns if c.startswith("x") or c == "leak"]
-        g = refit_gap(df, "y", plan, features, permutations, seed)
-        rows.append((seed, g["metric_obs"], g["gap"], g["p_value"], leakage, mode))
+    out = []
+    for at in range(0, len(runs), RUNS):
+        every = None
+        for k, r in enumerate(runs[at : at + RUNS]):
+            df = simulate_dataset(spark, r["n"], r["p"], r["leakage"], signal=signal, seed=r["seed"])
+            plan = make_split_plan(df, r["mode"], id_col="row_id", group="subject", batch="batch", study="study", time="time", outcome="y", seed=r["seed"], check=False)
+            rows = refit_rows(df, "y", plan, [c for c in df.columns if c.startswith("x") or c == "leak"], permutations, r["seed"]).withColumn("run", F.lit(k))
+            every = rows if every is None else every.unionByName(rows)
+        values: dict[int, dict] = {}
+        for r in refit_scores(every, ["run"]).collect():  # one row for each run and permutation
+            values.setdefault(r["run"], {})[r["b"]] = r["auc"]
+        out += [gap_of(values[k]) for k in range(len(runs[at : at + RUNS]))]
+    return out
+
+
+def simulate_suite(spark: SparkSession, seeds: list[int], n: int = 200, p: int = 10, mode: str = "subject_grouped", leakage: str = "none", permutations: int = 20, signal: float = 1.0) -> DataFrame:
+    """(seed, metric_obs, gap, p_value, leakage, mode): one simulated study for each seed; the fits of several studies, all permutations and folds are one job."""
+    gaps = _studies(spark, [{"n": n, "p": p, "mode": mode, "leakage": leakage, "seed": s} for s in seeds], permutations, signal)
+    rows = [(s, g["metric_obs"], g["gap"], g["p_value"], leakage, mode) for s, g in zip(seeds, gaps)]
     return spark.createDataFrame(rows, "seed int, metric_obs double, gap double, p_value double, leakage string, mode string")
 
 
 def benchmark_suite(spark: SparkSession, profiles: dict[str, tuple[int, int]], leakages: list[str], modes: list[str], seeds: list[int], permutations: int = 20, alpha: float = 0.05) -> DataFrame:
     """(modality, leakage, mode, n_runs, detection_rate): detected where p is at most alpha and the gap positive."""
-    out = None
-    for name, (n, p) in profiles.items():
-        for leakage in leakages:
-            for mode in modes:
-                part = simulate_suite(spark, seeds, n, p, mode, leakage, permutations).withColumn("modality", F.lit(name))
-                out = part if out is None else out.unionAll(part)
-    hit = ((F.col("p_value") <= alpha) & (F.col("gap") > 0)).cast("double")
-    return out.groupBy("modality", "leakage", "mode").agg(F.count(F.lit(1)).alias("n_runs"), F.avg(hit).alias("detection_rate"))
+    runs = [{"modality": name, "n": n, "p": p, "leakage": leakage, "mode": mode, "seed": seed} for name, (n, p) in profiles.items() for leakage in leakages for mode in modes for seed in seeds]
+    rows = [(r["modality"], r["leakage"], r["mode"], float(g["p_value"] <= alpha and g["gap"] > 0)) for r, g in zip(runs, _studies(spark, runs, permutations, 1.0))]
+    table = spark.createDataFrame(rows, "modality string, leakage string, mode string, hit double")
+    return table.groupBy("modality", "leakage", "mode").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("hit").alias("detection_rate"))

@@ -124,7 +124,7 @@ def fit_logistic_cv(spark, sf):
 
 def perm_gap_refit(spark, sf):
     e = events(spark, sf).withColumn("h", F.hour("ts").cast("double"))
-    g = R.refit_gap(e, "y", subject_plan(spark, sf), ["score", "h"], 5)
+    g = R.refit_gap(e, "y", subject_plan(spark, sf), ["score", "h"], 20)
     return spark.createDataFrame([(g["metric_obs"], g["perm_mean"], g["gap"], g["p_value"])], "metric_obs double, perm_mean double, gap double, p_value double")
 
 
@@ -134,7 +134,7 @@ def tune_nested(spark, sf):
 
 
 def simulate_suite(spark, sf):
-    return SIM.simulate_suite(spark, [1, 2], n=120, p=5, leakage="peek_norm", permutations=5)
+    return SIM.simulate_suite(spark, [1, 2, 3], n=120, p=5, leakage="peek_norm")
 
 
 def benchmark_grid(spark, sf):
