@@ -375,14 +375,32 @@ def lasso_columns(df: DataFrame, columns: list[str], y: str) -> list[str]:
     return [columns[i] for i in order if weights[i] > 0] or [columns[i] for i in order[:50]]
 
 
+def second_moments(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sums of products of each two columns, nulls as 0: a matrix for each partition, whose rows are added by their number."""
+    import pandas as pd
+
+    p = len(columns)
+
+    def products(batches):
+        total = np.zeros((p, p))
+        for pdf in batches:
+            x = np.nan_to_num(pdf.to_numpy(dtype=float))
+            total += x.T @ x
+        yield pd.DataFrame({"i": range(p), "g": [row.tobytes() for row in total]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "g": [np.sum([np.frombuffer(g) for g in pdf["g"]], axis=0).tobytes()]})
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInPandas(products, "i int, g binary").groupBy("i").applyInPandas(add, "i int, g binary").collect()
+    out = np.zeros((p, p))
+    for r in rows:
+        out[r["i"]] = np.frombuffer(r["g"])
+    return out
+
+
 def principal_axes(df: DataFrame, columns: list[str], k: int) -> np.ndarray:
-    """(columns, k): axes of the uncentred second-moment matrix, from sums that Spark aggregates; the sign makes the largest weight positive."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = df.agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s{n}") for n, (i, j) in enumerate(pairs)]).first()
-    gram = np.zeros((len(columns), len(columns)))
-    for n, (i, j) in enumerate(pairs):
-        gram[i, j] = gram[j, i] = sums[n] or 0.0
-    values, vectors = np.linalg.eigh(gram)
+    """(columns, k): axes of the uncentred second-moment matrix; the sign makes the largest weight positive."""
+    values, vectors = np.linalg.eigh(second_moments(df, columns))
     out = vectors[:, np.argsort(-values, kind="stable")[:k]]
     return out * np.sign(out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])])
 

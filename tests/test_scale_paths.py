@@ -41,3 +41,10 @@ def test_shuffled_auc_by_rank_sums(frame):
     labels = permute.shuffled(frame, "id", "y", 4)
     slow = dict(map(tuple, metrics.auc(labels.join(frame.select("id", "score"), "id"), "y", "score", ["b"]).collect()))
     assert fast == pytest.approx(slow)
+
+
+def test_second_moments(spark):
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0, None)], "a double, b double, c double, d double").repartition(5)
+    y = np.vstack((x, [0, 1, 1, 0]))
+    assert np.allclose(guard.second_moments(df, ["a", "b", "c", "d"]), y.T @ y)
