@@ -173,18 +173,20 @@ def quantiles(df: DataFrame, values: list[Column], shares: list[float], n: int)
     return out
 
 
-def column_stats(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """n, missing, mean, sd, var, median, iqr and mad (constant 1) of each column; three passes for all columns, more for large tables."""
+def column_stats(df: DataFrame, columns: list[str], n: int | None = None) -> dict[str, dict]:
+    """n, missing, mean, sd, var, median, iqr and mad (constant 1) of each column; two passes for all columns, more for large tables. n: df's rows, if known."""
     if not columns:
         return {}
-    first = df.agg(F.count(F.lit(1)).alias("rows"), *[e.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, e in (("n", F.count(c)), ("missing", F.count_if(F.col(c).isNull())), ("mean", F.avg(c)), ("sd", F.stddev_samp(c)), ("var", F.var_samp(c)))]).first()
+    n = df.count() if n is None else n
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    small = n <= EXACT_ROWS
+    first = df.agg(*[e.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, e in (("n", F.count(c)), ("missing", F.count_if(F.col(c).isNull())), ("mean", F.avg(c)), ("sd", F.stddev_samp(c)), ("var", F.var_samp(c)), ("q", F.percentile(F.col(c).cast("double"), shares) if small else F.lit(None)))]).first()
     stats = {c: {k: first[f"{k}_{i}"] for k in ("n", "missing", "mean", "sd", "var")} for i, c in enumerate(columns)}
-    for c, (lo, median, hi) in zip(columns, quantiles(df, [F.col(c).cast("double") for c in columns], [0.25, 0.5, 0.75], first["rows"])):
-        stats[c] |= {"median": median, "iqr": None if lo is None else hi - lo}
+    quarters = [first[f"q_{i}"] or [None] * 3 for i in range(len(columns))] if small else quantiles(df, [F.col(c).cast("double") for c in columns], [0.25, 0.5, 0.75], n)
+    for c, (lo, median, hi) in zip(columns, quarters):
+        stats[c] |= {"median": median, "iqr": None if lo is None else hi - lo, "mad": None}
     known = [c for c in columns if stats[c]["median"] is not None]
-    spread = quantiles(df, [F.abs(F.col(c).cast("double") - F.lit(stats[c]["median"])) for c in known], [0.5], first["rows"]) if known else []
-    for c in columns:
-        stats[c]["mad"] = None
+    spread = quantiles(df, [F.abs(F.col(c).cast("double") - F.lit(stats[c]["median"])) for c in known], [0.5], n) if known else []
     for c, (mad,) in zip(known, spread):
         stats[c]["mad"] = mad
     return stats
@@ -204,11 +206,12 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str] = (), confi
     keep = [c for c in (id_col, y) if c]
     x = encode(train, keep, numeric, categorical, levels)
     names = [c for c in x.columns if c not in keep]
-    raw = column_stats(x, names)
+    n = train.count()
+    raw = column_stats(x, names, n)
     stats = {c: {"median": raw[c]["median"], "mad": raw[c]["mad"]} for c in names}
     if config.winsorize:
         x = x.select(*keep, *[winsorized(F.col(c), stats[c], config) for c in names])
-    after = column_stats(x, names)
+    after = column_stats(x, names, n) if config.winsorize else raw
     any_missing = any(s["missing"] for s in after.values())
     if config.impute == "none" and any_missing:
         warn("missing values: medians with indicators are used", FallbackWarning)
@@ -222,16 +225,16 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str] = (), confi
         model.forests = forest_fit(x, names, stats, config)
         x = forest_fill(x, keep, names, stats, model.forests)
     filled = x.select(*keep, *[F.coalesce(F.col(c), F.lit(stats[c]["fill"])).alias(c) for c in names])
-    done = column_stats(filled, names)
+    done = column_stats(filled, names, n) if config.normalize != "none" else after
     for c in names:
         s, d = stats[c], done[c]
         centre, scale = {"zscore": (d["mean"], d["sd"]), "robust": (d["median"], (d["mad"] or 0.0) * ROBUST), "none": (0.0, 1.0)}[config.normalize]
         s |= {"centre": centre or 0.0, "scale": scale if scale and scale >= 1e-12 else 1.0}
     scaled = filled.select(*keep, *[e for c in names for e in model._finish(c)])
-    final = column_stats(scaled, names)
-    kept = filtered(final, config)
+    narrow = config.var_thresh > 0 or config.iqr_thresh > 0
+    kept = filtered(column_stats(scaled, names, n), config) if narrow else names
     model.columns = kept + [f"{c}__missing" for c in kept if stats[c]["indicator"]]
-    model.diagnostics = {"n_train": train.count(), "p_in": len(numeric) + len(categorical), "p_after_encode": len(names), "removed_by_filter": len(names) - len(kept)}
+    model.diagnostics = {"n_train": n, "p_in": len(numeric) + len(categorical), "p_after_encode": len(names), "removed_by_filter": len(names) - len(kept)}
     if config.select == "ttest" and y:
         top = config.top_k or max(50, -(-len(model.columns) // 10))
         model.columns = [r["feature"] for r in welch(scaled, model.columns, y).where(F.col("rank") <= top).orderBy("rank").collect()]
