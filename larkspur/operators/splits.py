@@ -258,14 +258,22 @@ def _component_folds(samples: DataFrame, axes: list[str], label: str | None, v:
 
 
 def nested_plan(plan: SplitPlan, v: int = 3, seed: int | None = None) -> DataFrame:
-    """(outer_repeat, outer_fold, id, inner_fold): grouped inner folds of every outer fold's train rows, at once.
+    """(outer_repeat, outer_fold, id, inner_fold): inner folds of every outer fold's train rows, at once.
 
-    Ids are global. The level that drove the outer plan drives the inner one.
+    Ids are global. The level that drove the outer plan drives the inner one;
+    train rows of time plans are cut into v blocks of time again.
     """
+    strict_checks(is_strict(plan.samples.sparkSession), plan.info["seed"], True, plan.mode)
+    if plan.mode == "time_series":
+        when = as_number(F.col(plan.info["time"]), plan.samples.schema[plan.info["time"]].dataType.typeName()).cast("double")
+        rows = plan.train().join(plan.samples.select(plan.id_col, when.alias("__t")), plan.id_col)
+        ranked = value_ranked(rows, ["repeat_id", "fold"], "__t", plan.id_col)
+        sizes = rows.groupBy("repeat_id", "fold").agg(F.count(F.lit(1)).alias("__n"))
+        block = F.greatest(F.lit(1), F.expr(f"((rn - 1) * {v} + __n - 2) div greatest(__n - 1, 1)")).cast("int")
+        return ranked.join(F.broadcast(sizes), ["repeat_id", "fold"]).select(F.col("repeat_id").alias("outer_repeat"), F.col("fold").alias("outer_fold"), plan.id_col, block.alias("inner_fold"))
     level = plan.info["group"] or plan.info["batch"] or plan.info["study"]
     if level is None:
         raise InputError("nested plans need a grouped outer plan")
-    strict_checks(is_strict(plan.samples.sparkSession), plan.info["seed"], True, plan.mode)
     seed = plan.info["seed"] + 1 if seed is None else seed
     train = plan.train().join(plan.samples.select(plan.id_col, level), plan.id_col)
     levels = train.select("repeat_id", "fold", level).distinct()

@@ -63,6 +63,12 @@ def split_nested(spark, sf):
     return S.nested_plan(subject_plan(spark, sf), v=3)
 
 
+def split_nested_time(spark, sf):
+    """Inner blocks of time of each outer time fold's train rows."""
+    plan = S.make_split_plan(events(spark, sf), "time_series", id_col="event_id", time="ts", v=4, check=False)
+    return S.nested_plan(plan, v=3).groupBy("outer_repeat", "outer_fold", "inner_fold").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least"), F.max("event_id").alias("most"))
+
+
 def split_summary(spark, sf):
     return subject_plan(spark, sf).summary()
 
@@ -103,7 +109,7 @@ def schema_task_inference(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     split_subject_grouped, split_subject_stratified, split_batch_blocked, split_study_loo, split_time_series, split_time_purge_embargo, split_combined_exclusion, split_combined_dates, split_components,
-    split_component_packing, split_nested, split_summary, split_overlap_check, split_overlap_counts, split_plan_hash, folds_export, folds_import, folds_from_spec, schema_task_inference,
+    split_component_packing, split_nested, split_nested_time, split_summary, split_overlap_check, split_overlap_counts, split_plan_hash, folds_export, folds_import, folds_from_spec, schema_task_inference,
 )}
 
 _REP = """grp as (select user_id, r as repeat_id, cast((row_number() over (partition by r order by md5('1|split|' || r || '|' || user_id), user_id) - 1) % 5 + 1 as integer) as fold
@@ -146,6 +152,9 @@ select component, count(*) as n_levels from m group by component""",
     "split_nested": f"""with {EV}, {GRP}, tr as (select ev.event_id, ev.user_id, f.fold as outer_fold from ev join grp using (user_id) join (select distinct fold from grp) f on f.fold <> grp.fold),
 g as (select outer_fold, user_id, cast((row_number() over (partition by outer_fold order by md5('2|inner|1|' || outer_fold || '|' || user_id), user_id) - 1) % 3 + 1 as integer) as inner_fold from (select distinct outer_fold, user_id from tr))
 select 1 as outer_repeat, outer_fold, event_id, inner_fold from tr join g using (outer_fold, user_id)""",
+    "split_nested_time": f"""with {EV}, {_TIMES}, bl as (select event_id, ts, {_BLOCK.format(v=4)} from ranked), st as (select fold, min(ts) as t0 from bl group by fold),
+tr as (select st.fold as outer_fold, event_id, row_number() over (partition by st.fold order by ts, event_id) as rn, count(*) over (partition by st.fold) as n from bl join st on bl.ts < st.t0)
+select 1 as outer_repeat, outer_fold, {_BLOCK.format(v=3).replace("as fold", "as inner_fold")}, count(*) as n, min(event_id) as least, max(event_id) as most from tr group by 2, 3""",
     "split_summary": f"with {PRED} select 1 as repeat_id, fold, (select count(*) from pred) - count(*) as train_n, count(*) as test_n from pred group by fold",
     "split_overlap_check": f"""with {PRED}, l as (select fold, 'user_id' as col, cast(user_id as varchar) as level from pred union all select fold, 'event_type', event_type from pred),
 d as (select distinct fold, col, level from l), f as (select distinct fold from pred),
