@@ -41,6 +41,7 @@ class GuardConfig:
     top_k: int | None = None
     forest_rounds: int = 10
     forest_trees: int = 100
+    task: str | None = None  # multiclass: y holds class numbers; else two values are classes, and more are numbers
 
 
 @dataclass
@@ -239,7 +240,7 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str] = (), confi
         top = config.top_k or max(50, -(-len(model.columns) // 10))
         model.columns = [r["feature"] for r in welch(scaled, model.columns, y).where(F.col("rank") <= top).orderBy("rank").collect()]
     elif config.select == "lasso" and y:
-        model.columns = lasso_columns(scaled, model.columns, y)
+        model.columns = lasso_columns(scaled, model.columns, y, config.task)
     elif config.select == "pca":
         model.rotation = principal_axes(scaled, model.columns, min(50, len(model.columns)))
     model.diagnostics["p_out"] = model.rotation.shape[1] if model.rotation is not None else len(model.columns)
@@ -364,16 +365,19 @@ def forest_fill(df: DataFrame, keep: list[str], columns: list[str], stats: dict[
     return out.select(*keep, *columns)
 
 
-def lasso_columns(df: DataFrame, columns: list[str], y: str) -> list[str]:
-    """Columns with a weight in an almost unpenalised lasso; the 50 heaviest if none has."""
+def lasso_columns(df: DataFrame, columns: list[str], y: str, task: str | None = None) -> list[str]:
+    """Columns with a weight in an almost unpenalised lasso (of any class, for several); the 50 heaviest if none has. Constant columns have none."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(df.where(F.col(y).isNotNull()).withColumn("__y", F.col(y).cast("double")))
-    binary = rows.select("__y").distinct().limit(3).count() == 2
-    estimator = (LogisticRegression if binary else LinearRegression)(featuresCol="__x", labelCol="__y", elasticNetParam=1.0, regParam=1e-3, standardization=False)
-    weights = np.abs(estimator.fit(rows).coefficients.toArray())
+    settings = {"featuresCol": "__x", "labelCol": "__y", "elasticNetParam": 1.0, "regParam": 1e-3, "standardization": False}
+    if task == "multiclass":
+        weights = np.abs(LogisticRegression(family="multinomial", **settings).fit(rows).coefficientMatrix.toArray()).sum(axis=0)
+    else:
+        binary = rows.select("__y").distinct().limit(3).count() == 2
+        weights = np.abs((LogisticRegression if binary else LinearRegression)(**settings).fit(rows).coefficients.toArray())
     order = np.argsort(-weights, kind="stable")
     return [columns[i] for i in order if weights[i] > 0] or [columns[i] for i in order[:50]]
 

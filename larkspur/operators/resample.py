@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -161,7 +161,7 @@ def fit_resample(
     ml = {n: f for n, f in learners.items() if f == "forest" or hasattr(f, "fit") and hasattr(f, "getParam")}
     local = {n: f for n, f in learners.items() if n not in ml}
     if preprocess or categorical or any(not hasattr(f, "getStages") for f in ml.values()):
-        ready, records = guarded_folds(rows, id_col, keep, features, categorical, preprocess or guard.GuardConfig(winsorize=False))
+        ready, records = guarded_folds(rows, id_col, keep, features, categorical, replace(preprocess or guard.GuardConfig(winsorize=False), task=task))
         if ready is None:
             raise FitError("no fold could be preprocessed: " + records[0]["error"])
         ready = checkpointed(ready)
@@ -313,7 +313,7 @@ def _final(df: DataFrame, base: DataFrame, learners: dict, task: str, id_col: st
     rows = base.where("y is not null").withColumns({"role": F.lit("train"), "label": F.col("y")})
     if hasattr(learner, "getStages"):
         return {"learner": name, "model": learner.fit(rows), "guard": None}
-    model = guard.fit(rows, features, categorical, preprocess or guard.GuardConfig(winsorize=False), y="y", id_col=id_col)
+    model = guard.fit(rows, features, categorical, replace(preprocess or guard.GuardConfig(winsorize=False), task=task), y="y", id_col=id_col)
     x = model.transform(rows, [id_col, "y", "label", "event", "weight"])
     names = [c for c in x.columns if c not in (id_col, "y", "label", "event", "weight")]
     x = x.withColumn("x", F.array(*[F.col(c).cast("double") for c in names]))

@@ -98,3 +98,11 @@ def test_guard_steps(data):
     model = guard.fit(data, ["a", "b"], ["k"], guard.GuardConfig())
     assert [s["step"] for s in model.steps()] == ["encode", "winsorize", "impute", "normalize", "filter", "select"]
     assert model.fingerprint() == guard.fit(data, ["a", "b"], ["k"], guard.GuardConfig()).fingerprint() and "encode" in model.describe()
+
+
+def test_lasso_of_several_classes(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, *map(float, r), int(r[0] > 0.4) + 2 * int(r[1] > 0.6)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double, y int").withColumn("d", F.lit(1.0))
+    model = guard.fit(df, ["a", "b", "c", "d"], config=guard.GuardConfig(select="lasso", task="multiclass"), y="y", id_col="id")
+    assert set(model.columns[:2]) == {"a", "b"} and "d" not in model.columns
