@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.errors import FitError, InputError, ValidationWarning, warn
@@ -155,12 +155,14 @@ def fit_resample(
     given = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])[F.col(outcome).cast("string") if task == "multiclass" else F.col(outcome).cast("int").cast("string")] if weights else F.lit(None)
     base = df.select(id_col, y.alias("y"), (F.col(event).cast("double") if event else F.lit(None).cast("double")).alias("event"), F.coalesce(given.cast("double"), F.lit(1.0)).alias("weight"), *features, *categorical)
     index = plan.fold_index()
+    sizes = {(r["repeat_id"], r["fold"], r["role"]): r["count"] for r in index.groupBy("repeat_id", "fold", "role").count().collect()}  # two rows for each fold
     rows = index.join(base, id_col)
     keep = [id_col, "repeat_id", "fold", "role", "y", "event", "weight"]
     records: list[dict] = []
     ml = {n: f for n, f in learners.items() if f == "forest" or hasattr(f, "fit") and hasattr(f, "getParam")}
     local = {n: f for n, f in learners.items() if n not in ml}
     if preprocess or categorical or any(not hasattr(f, "getStages") for f in ml.values()):
+        rows = checkpointed(rows)
         ready, records = guarded_folds(rows, id_col, keep, features, categorical, replace(preprocess or guard.GuardConfig(winsorize=False), task=task))
         if ready is None:
             raise FitError("no fold could be preprocessed: " + records[0]["error"])
@@ -186,8 +188,8 @@ def fit_resample(
         fold_status = fold_status.unionByName(s)
     if not predictions.limit(1).count():
         raise FitError("no fold could be fitted")
-    sequence = Window.orderBy("repeat_id", "fold")  # one row for each fold
-    numbered = index.select("repeat_id", "fold").distinct().withColumn("fold_seq", F.row_number().over(sequence))
+    numbered = [(r, f, k) for k, (r, f) in enumerate(sorted({key[:2] for key in sizes}), 1)]
+    numbered = df.sparkSession.createDataFrame(numbered, "repeat_id int, fold int, fold_seq int")
     predictions = predictions.join(F.broadcast(numbered), ["repeat_id", "fold"])
     if task == "binomial":
         predictions = predictions.withColumns({"pred_class": (F.col("pred") >= threshold).cast("int"), "pred_0": 1 - F.col("pred"), "pred_1": F.col("pred")}).drop("probabilities", "event")
@@ -203,8 +205,8 @@ def fit_resample(
         table = table.join(M.evaluate(predictions, m, task, "truth", "pred", by, **({"levels": levels} if task == "multiclass" else {})), by, "left")
     for m, f in own.items():
         table = table.join(f(predictions, "truth", "pred", by).select(*by, m), by, "left")
-    sizes = plan.summary().agg(F.avg("train_n").alias("a"), F.avg("test_n").alias("b")).first()
-    info = {"metrics": [*chosen, *own], "task": task, "features": features, "seed": seed, "levels": levels, "guard": records, "n_train": sizes["a"], "n_test": sizes["b"], "class_weights": weights}
+    mean_size = lambda role: float(np.mean([n for key, n in sizes.items() if key[2] == role]))
+    info = {"metrics": [*chosen, *own], "task": task, "features": features, "seed": seed, "levels": levels, "guard": records, "n_train": mean_size("train"), "n_test": mean_size("test"), "class_weights": weights}
     info["refit"] = {"df": df, "outcome": outcome, "plan": plan, "features": features}
     final = _final(df, base, learners, task, id_col, features, categorical, preprocess, len(levels), seed) if refit else None
     return ResampleFit(predictions, table, fold_status, info, final)
