@@ -154,7 +154,7 @@ def fit_resample(
     y = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(outcome).cast("string")).cast("double") - 1 if task == "multiclass" else F.col(outcome).cast("double")
     given = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])[F.col(outcome).cast("string") if task == "multiclass" else F.col(outcome).cast("int").cast("string")] if weights else F.lit(None)
     base = df.select(id_col, y.alias("y"), (F.col(event).cast("double") if event else F.lit(None).cast("double")).alias("event"), F.coalesce(given.cast("double"), F.lit(1.0)).alias("weight"), *features, *categorical)
-    index = plan.fold_index()
+    index = checkpointed(plan.fold_index())
     sizes = {(r["repeat_id"], r["fold"], r["role"]): r["count"] for r in index.groupBy("repeat_id", "fold", "role").count().collect()}  # two rows for each fold
     rows = index.join(base, id_col)
     keep = [id_col, "repeat_id", "fold", "role", "y", "event", "weight"]
