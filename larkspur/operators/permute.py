@@ -7,10 +7,12 @@ without a single task (ids.hash_ranked).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.errors import FallbackWarning, InputError, warn
+from larkspur.functions.columns import Stored
+from larkspur.functions.hashing import Texts
 from larkspur.ids import hash_order, hash_ranked, value_ranked
 from larkspur.operators.splits import SplitPlan, as_number
 
@@ -50,6 +52,28 @@ def places(df: DataFrame, id_col: str, cells: list[str] = (), *keep: str) -> Dat
     return ranked.select(*cells, "i", id_col, *keep)
 
 
+def place_order(df: DataFrame, id_col: str) -> Column:
+    """What places() orders by, before the id itself."""
+    return F.col(id_col) if _is_number(df, id_col) else F.lpad(F.col(id_col).cast("string"), 24, "0")
+
+
+def draw_prefix(seed: int, b: int) -> bytes:
+    """What precedes an id in the text whose hash orders permutation b of draws()."""
+    return f"{b + seed}|perm|".encode()
+
+
+def texts_of(held: Stored) -> Texts:
+    out = Texts()
+    for batch in held.batches("text"):
+        out.add(batch.column(0))
+    return out
+
+
+def numbered(spark: SparkSession, first: int, last: int) -> DataFrame:
+    """(b): the numbers of permutations, a few to a task."""
+    return spark.range(first, last + 1, 1, max(1, min(last + 1 - first, 3 * spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("b"))
+
+
 def shuffled(df: DataFrame, id_col: str, label: str, n: int, seed: int = 1, cells: list[str] = ()) -> DataFrame:
     """(b, id, label): n permutations of the label, within cells if any are given."""
     cells = list(cells)

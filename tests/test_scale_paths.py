@@ -48,3 +48,32 @@ def test_second_moments(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0, None)], "a double, b double, c double, d double").repartition(5)
     y = np.vstack((x, [0, 1, 1, 0]))
     assert np.allclose(guard.second_moments(df, ["a", "b", "c", "d"]), y.T @ y)
+
+
+def test_hash_order_by_numpy():
+    import hashlib
+
+    import pyarrow as pa
+
+    from larkspur.functions.hashing import Texts
+
+    texts = [str(i) for i in range(0, 3000, 7)] + ["", "x" * 60, "é|3", "12|4"]
+    held = Texts()
+    held.add(pa.array(texts[:100]))
+    held.add(pa.array(texts)[100:])
+    want = sorted(range(len(texts)), key=lambda i: (hashlib.md5(b"17|perm|" + texts[i].encode()).hexdigest(), i))
+    assert held.order(b"17|perm|").tolist() == want
+    codes = (np.arange(len(texts)) % 3).astype(np.int8)
+    assert held.drawn(b"17|perm|", codes).tolist() == codes[want].tolist()
+
+
+@pytest.mark.parametrize("key", ["id", "name"])
+def test_permuted_auc_needs_no_copies_of_rows(frame, monkeypatch, key):
+    from larkspur.operators import permute
+
+    named = frame.withColumn("name", F.concat_ws("|", "id", F.lit(1)))
+    monkeypatch.setattr(audit, "TASK_ROWS", 0)
+    shuffled = dict(map(tuple, audit.permutation_values(named, key, "auc", "binomial", 4, "y", "score").collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(permute, "draws", None)  # a row for each row and permutation
+    assert dict(map(tuple, audit.permutation_values(named, key, "auc", "binomial", 4, "y", "score").collect())) == pytest.approx(shuffled)
