@@ -1,7 +1,6 @@
 """Fits beyond those that SQL checks: learners of several kinds, tuning, reports."""
 
 import warnings
-
 from dataclasses import replace
 
 import numpy as np
@@ -152,3 +151,20 @@ def test_folds_read_one_table(spark, monkeypatch):
     assert len(once) == 2 * 2 * 600 and once.keys() == spelt.keys() and (info["n_train"], info["n_test"]) == (same["n_train"], same["n_test"])
     for key, (truth, pred) in once.items():
         assert truth == spelt[key][0] and abs(pred - spelt[key][1]) < 1e-9
+
+
+def test_status_of_folds_that_read_one_table(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 10, float(i), float(i % 3)) for i in range(101)], "id long, g long, y double, a double")
+    plan = make_split_plan(df, "subject_grouped", id_col="id", group="g", v=3, check=False)
+    monkeypatch.setattr(type(plan), "fold_index", lambda self: pytest.fail("rows were spelt out by fold"))
+
+    def fails(x, y, task, w):
+        x[:], w[:] = 0, 0  # what a learner is given is its own
+        if len(y) % 2 == 0:
+            raise ValueError("an even number of rows")
+
+    mean = (lambda x, y, task, w: float(np.average(y, weights=w)), lambda m, x, task: np.full(len(x), m))
+    fit = resample.fit_resample(df, "y", plan, "gaussian", {"odd": (fails, lambda m, x, t: np.zeros(len(x))), "mean": mean}, ["a"], ["rmse"])
+    sizes = {r["fold"]: 101 - r["count"] for r in plan.assign.groupBy("fold").count().collect()}
+    got = {(r["learner"], r["fold"]): r["status"] for r in fit.fold_status.collect()}
+    assert got == {(n, f): "failed" if n == "odd" and m % 2 == 0 else "success" for f, m in sizes.items() for n in ("odd", "mean")}
